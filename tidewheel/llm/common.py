@@ -75,7 +75,7 @@ def partitions_for(df: DataFrame, mb: int = 64) -> int:
     """As many partitions as keep each at about mb of input, and the session's number at least."""
     spark = df.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(least, min(size // (mb << 20), 200_000) if size < 1 << 55 else 0)
 
 
