@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewheel.llm import op2_records, op7_bpe, op9_counts, op10_pack
+from tidewheel.llm import op2_records, op4_substrings, op7_bpe, op9_counts, op10_pack
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_records": op2_records.query,
+        "op4_substrings": op4_substrings.query,
         "op7_bpe": op7_bpe.query,
         "op9_counts": op9_counts.query,
         "op10_pack": op10_pack.query,
@@ -19,4 +20,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_substrings": op4_substrings.ORACLE}
