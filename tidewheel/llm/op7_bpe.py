@@ -30,7 +30,7 @@ WALL, GONE = -1, -2
 class Replay:
     """ranks: from the bytes of a token to its id, lower ids merging first."""
 
-    def __init__(self, ranks: dict[bytes, int], entries: int = 300_000, longest: int = 64):
+    def __init__(self, ranks: dict[bytes, int], entries: int = 1_000_000, longest: int = 64):
         self.ranks, self.entries, self.longest = ranks, entries, longest
         self.tokens = {v: k for k, v in ranks.items()}
         self.base = max(self.tokens) + 1

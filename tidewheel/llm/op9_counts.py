@@ -43,7 +43,7 @@ class PrefixCounter:
         self.vocab, self.special = vocab, special
         self.longest = max(map(len, vocab))
         self.fits = Table(self._fits, entries=300_000, longest=2)
-        self.counts = Table(lambda piece: int(self.piece(piece.encode())[-1]))
+        self.counts = Table(lambda piece: int(self.piece(piece.encode())[-1]), entries=1_000_000)
         self.split = byte_level()
 
     @classmethod

@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewheel.llm import op2_records, op4_substrings, op7_bpe, op9_counts, op10_pack
+from tidewheel.llm import op2_records, op4_substrings, op5_digest, op7_bpe, op8_toxicity, op9_counts, op10_pack
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_records": op2_records.query,
         "op4_substrings": op4_substrings.query,
+        "op5_digest": op5_digest.query,
         "op7_bpe": op7_bpe.query,
+        "op8_toxicity": op8_toxicity.query,
         "op9_counts": op9_counts.query,
         "op10_pack": op10_pack.query,
     }
