@@ -1,7 +1,8 @@
-"""Columns of unsigned integers as one byte string, each in the narrowest width that holds it.
+"""Columns of unsigned integers as one byte string, each in as few bytes a value as its range needs.
 
 Tens of millions of small facts (a hash, a document, a position) move between stages this way: one row
-for each source slice and target part, instead of one row a fact.
+for each source slice and target part, instead of one row a fact.  A column is its least value, its width,
+and the bytes of what each value has above the least, lowest bytes of all values first.
 """
 
 from __future__ import annotations
@@ -12,20 +13,26 @@ import numpy as np
 
 
 def pack(*columns: np.ndarray) -> bytes:
-    out = [np.array([len(columns[0])], "<u4").tobytes()]
+    n = len(columns[0])
+    out = [np.array([n], "<u8").tobytes()]
     for c in columns:
-        top = int(c.max()) if len(c) else 0
-        width = next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)
-        out += [bytes([width]), np.ascontiguousarray(c, f"<u{width}").tobytes()]
+        c = np.ascontiguousarray(c, np.uint64)
+        least = c.min() if n else np.uint64(0)
+        width = (int(c.max() - least).bit_length() + 7) // 8 if n else 0
+        out += [np.array([least], "<u8").tobytes(), bytes([width])]
+        out.append(np.ascontiguousarray((c - least).astype("<u8").view(np.uint8).reshape(n, 8)[:, :width].T).tobytes())
     return b"".join(out)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
-    n, at, out = int(np.frombuffer(data, "<u4", 1)[0]), 4, []
+    n, at, out = int(np.frombuffer(data, "<u8", 1)[0]), 8, []
     while at < len(data):
-        width = data[at]
-        out.append(np.frombuffer(data, f"<u{width}", n, at + 1).astype(np.uint64))
-        at += 1 + n * width
+        least, width = np.frombuffer(data, "<u8", 1, at)[0], data[at + 8]
+        at += 9
+        full = np.zeros((n, 8), np.uint8)
+        full[:, :width] = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T
+        out.append(full.view("<u8").reshape(n) + least)
+        at += n * width
     return out
 
 

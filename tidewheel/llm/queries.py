@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewheel.llm import op2_records, op4_substrings, op5_digest, op7_bpe, op8_toxicity, op9_counts, op10_pack
+from tidewheel.llm import op2_records, op3_jaccard, op4_substrings, op5_digest, op7_bpe, op8_toxicity, op9_counts, op10_pack
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_records": op2_records.query,
+        "op3_jaccard": op3_jaccard.query,
         "op4_substrings": op4_substrings.query,
         "op5_digest": op5_digest.query,
         "op7_bpe": op7_bpe.query,
@@ -22,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substrings": op4_substrings.ORACLE}
+    return {"op3_jaccard": op3_jaccard.ORACLE, "op4_substrings": op4_substrings.ORACLE}
