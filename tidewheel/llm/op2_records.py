@@ -118,7 +118,7 @@ def read_shuffled(spark: SparkSession, path: str, seed: int = 0) -> DataFrame:
 
 
 def starts(spark: SparkSession, path: str) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens, ids_crc32.
+    """Per document, from the index that reading the files back has made: doc_id, start, n_tokens, ids_crc32.
 
     start is a running sum: within shards, each of a bounded size, plus what earlier shards hold,
     one row a shard.
@@ -127,7 +127,7 @@ def starts(spark: SparkSession, path: str) -> DataFrame:
     per_shard = index.groupBy("shard").agg(F.sum("n_tokens").alias("held"))
     before = per_shard.select("shard", (F.sum("held").over(Window.orderBy("shard")) - F.col("held")).alias("before"))
     within = F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("position")) - F.col("n_tokens")
-    rows = scan(spark, path).withColumn("within", within).join(before, "shard")
+    rows = index.withColumn("within", within).join(before, "shard")
     return rows.select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewheel.llm.common import batch, documents, slices, table
-from tidewheel.llm.pieces import byte_level, vocabulary
+from tidewheel.llm.pieces import byte_level_pieces, vocabulary
 
 WALL, GONE = -1, -2
 
@@ -30,7 +30,7 @@ WALL, GONE = -1, -2
 class Replay:
     """ranks: from the bytes of a token to its id, lower ids merging first."""
 
-    def __init__(self, ranks: dict[bytes, int], entries: int = 1_000_000, longest: int = 64):
+    def __init__(self, ranks: dict[bytes, int], entries: int = 1_000_000, longest: int = 14):
         self.ranks, self.entries, self.longest = ranks, entries, longest
         self.tokens = {v: k for k, v in ranks.items()}
         self.base = max(self.tokens) + 1
@@ -101,8 +101,7 @@ class Replay:
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         """The ids of each text."""
-        split = byte_level()
-        parts = [split.findall(t) for t in texts]
+        parts = [byte_level_pieces(t) for t in texts]
         if len(self.known) > self.entries:
             self.known.clear()
         fresh = sorted(set().union(*parts).difference(self.known))

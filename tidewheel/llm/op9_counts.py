@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewheel.llm.common import batch, documents, slices, table
-from tidewheel.llm.pieces import WHITE, Table, byte_level, vocabulary
+from tidewheel.llm.pieces import WHITE, Table, byte_level, byte_level_pieces, vocabulary
 
 LIMIT = 512
 _BLANK = regex.compile(f"[{WHITE}]+")
@@ -43,7 +43,7 @@ class PrefixCounter:
         self.vocab, self.special = vocab, special
         self.longest = max(map(len, vocab))
         self.fits = Table(self._fits, entries=300_000, longest=2)
-        self.counts = Table(lambda piece: int(self.piece(piece.encode())[-1]), entries=1_000_000)
+        self.counts = Table(lambda piece: int(self.piece(piece.encode())[-1]), entries=1_000_000, longest=14)
         self.split = byte_level()
 
     @classmethod
@@ -94,7 +94,7 @@ class PrefixCounter:
             parts = [x for p in parts for x in p.split(s)]
         total = len(parts) - 1
         for p in parts:
-            total += sum(map(self.counts.__getitem__, self.split.findall(p)))
+            total += sum(map(self.counts.__getitem__, byte_level_pieces(p)))
         return total
 
     def prefixes(self, text: str) -> np.ndarray:

@@ -18,6 +18,12 @@ WHITE = r"\t-\r\x20\x85\xa0  -     　"
 _ODD = re.compile(r"[^\t\n\r\x20-\x7e¡-¬®-įĲ-ž‐-‧‰-⁞]")
 
 
+#: Letters and digits among the plain characters, and the two patterns for texts of plain characters only.
+_L, _N = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u017e", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_BYTE_LEVEL = re.compile(f" ?[{_L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_N}]+| ?[^\\t\\n\\r {_L}{_N}]+|[\\t\\n\\r ]+(?![^\\t\\n\\r ])|[\\t\\n\\r ]+")
+_WORDS = re.compile(f"[{_L}]+|'(?:s|t|re|ve|m|ll|d)|[{_N}]|[^\\t\\n\\r {_L}{_N}]+")
+
+
 def odd(text: str) -> bool:
     """Whether the text has characters that only the library itself should split."""
     return _ODD.search(text) is not None
@@ -34,6 +40,11 @@ def byte_level():
     return splitter(public_tokenizers.PATTERN)
 
 
+def byte_level_pieces(text: str) -> list[str]:
+    """The matches of the byte-level pattern, by the shorter pattern where it says the same."""
+    return byte_level().findall(text) if odd(text) else _BYTE_LEVEL.findall(text)
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -43,7 +54,7 @@ def vocabulary(name: str) -> str:
 class Table(dict):
     """From piece to value, made at need; it is emptied when full, and long pieces are not kept."""
 
-    def __init__(self, make, entries: int = 400_000, longest: int = 48):
+    def __init__(self, make, entries: int = 600_000, longest: int = 12):
         super().__init__()
         self.make, self.entries, self.longest = make, entries, longest
 
@@ -68,8 +79,7 @@ class Library:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
-        # the second pattern is that of vocabularies of lower-case words: runs of letters, single digits, other runs
-        self.words, self.split = words, splitter(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") if words else byte_level()
+        self.words, self.split = words, _WORDS if words else _BYTE_LEVEL
         self.table = Table(self.whole)
         self.size = self.tokenizer.get_vocab_size()
 
