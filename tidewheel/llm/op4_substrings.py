@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewheel.llm.blobs import dealt, joined, ordered, pack, signed
 from tidewheel.llm.common import batch, partitions_for, slices, table, written
@@ -44,12 +45,11 @@ _ANCHOR, _WHOLE, _KNOWN, _COPY = range(4)
 
 
 def _keyed(df: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
-    """key (the id, null as the least number), sub (a hash of the text), text, bucket."""
+    """row (the other columns), key (the id, null as the least number), sub (a hash of the text), text, bucket."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("key"), F.xxhash64(text).alias("sub"), text.alias("text")).withColumn(
-        "bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")
-    )
+    row = F.struct(*[F.col(c) for c in df.columns if c != text_col] or [F.lit(0).alias("none")])
+    return df.select(row.alias("row"), key.alias("key"), F.xxhash64(text).alias("sub"), text.alias("text")).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
 
 
 def _first(keys: list[np.ndarray], order: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -224,8 +224,8 @@ def _repeated_windows(windows: DataFrame, n: int, buckets: int) -> DataFrame:
 
 
 def _removed(docs: DataFrame, repeats: DataFrame, window: int, digest: bool) -> DataFrame:
-    last = ("kept_sha256", "kept_sha256 string") if digest else ("text", "text string")
-    schema = pa.schema([("doc_id", pa.int64()), ("sub", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), (last[0], pa.string())])
+    """row, n_words, n_removed and kept: the words that are left, or their digest."""
+    schema = pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         copies, marks = _held(right, _COPY), _held(right, _WHOLE)
@@ -234,8 +234,7 @@ def _removed(docs: DataFrame, repeats: DataFrame, window: int, digest: bool) ->
         marked, sub_of, places = marks[0][order], marks[1][order], marks[2][order].astype(np.int64)
         keys, subs = ordered(left["key"].to_numpy()), ordered(left["sub"].to_numpy())
         out = []
-        for i, (text, doc_id, sub) in enumerate(zip(left["text"], left["doc_id"].to_pylist(), left["sub"].to_pylist(), strict=True)):
-            text = text.as_py()
+        for i, text in enumerate(left["text"].to_pylist()):
             words = text.encode().split()
             removed, kept = 0, words
             if len(words) >= window and (int(keys[i]), int(subs[i])) in gone:
@@ -250,18 +249,16 @@ def _removed(docs: DataFrame, repeats: DataFrame, window: int, digest: bool) ->
                     kept = [words[k] for k in np.flatnonzero(np.cumsum(edge)[:-1] == 0)]
                     removed = len(words) - len(kept)
             value = hashlib.sha256(b" ".join(kept)).hexdigest() if digest else text if not removed else b" ".join(kept).decode()
-            out.append((doc_id, sub, len(words), removed, value))
-        return pa.table([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, schema, strict=True)], schema=schema)
+            out.append((len(words), removed, value))
+        new = [pa.array(c, t.type) for c, t in zip(zip(*out, strict=True) if out else [[]] * 3, schema, strict=True)]
+        return pa.table([left["row"].combine_chunks(), *new], names=["row", *schema.names])
 
-    return docs.groupBy("bucket").cogroup(repeats.groupBy("bucket")).applyInArrow(run, f"doc_id long, sub long, n_words long, n_removed long, {last[1]}")
+    row = T.StructType([docs.schema["row"]])
+    out = row.add("n_words", "long").add("n_removed", "long").add("kept", "string")
+    return docs.groupBy("bucket").cogroup(repeats.groupBy("bucket")).applyInArrow(run, out)
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, digest: bool = False) -> DataFrame:
-    """Per row: doc_id, sub (Spark's xxhash64 of the text), n_words, n_removed, and the text that is left, or its sha256.
-
-    Texts that lose nothing stay as they are; of others the kept words are joined by one space.  The
-    digest is that of kept words joined by one space for all texts.
-    """
+def _kept(df: DataFrame, id_col: str, text_col: str, window: int, digest: bool) -> DataFrame:
     if window < PERIOD:
         raise ValueError(f"a window has at least {PERIOD} words")
     n = partitions_for(df, 16)
@@ -272,8 +269,24 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return _removed(docs, both, window, digest)
 
 
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows with the text that is left, their other columns, n_words and n_removed.
+
+    Texts that lose nothing stay as they are (null ones become empty); of others the kept words are joined by
+    one space.
+    """
+    kept = _kept(df, id_col, text_col, window, False)
+    return kept.select(*[(F.col("kept") if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in df.columns], "n_words", "n_removed")
+
+
+def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """Per row: doc_id, n_words, n_removed, and the sha256 of the kept words joined by one space."""
+    kept = _kept(df.select(id_col, text_col), id_col, text_col, window, True)
+    return kept.select(F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"), digest=True).drop("sub")
+    return digests(table(spark, sf_dir, "documents"))
 
 
 #: Windows by their words, with the same result.

@@ -180,6 +180,17 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, predicted int, passages array<struct<first_word:long,end_word:long,score:double>>")
 
 
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows whose text scores below the threshold, with all their columns."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield b.filter(pa.array([model.score(t or "")[0] < threshold for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def train(spark: SparkSession, sf_dir: str) -> Model:
     """The model of a corpus: fitted on the labels that aren't held out."""
     return fit(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out()))

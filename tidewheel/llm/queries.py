@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewheel.llm import op2_records, op3_jaccard, op4_substrings, op5_digest, op6_embeddings, op7_bpe, op8_toxicity, op9_counts, op10_pack
+import corpus_pipeline
+from tidewheel.llm import op1_pii, op2_records, op3_jaccard, op4_substrings, op5_digest, op6_embeddings, op7_bpe, op8_toxicity, op9_counts, op10_pack
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": op1_pii.query,
         "op2_records": op2_records.query,
         "op3_jaccard": op3_jaccard.query,
         "op4_substrings": op4_substrings.query,
@@ -20,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity.query,
         "op9_counts": op9_counts.query,
         "op10_pack": op10_pack.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
