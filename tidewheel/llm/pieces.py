@@ -12,10 +12,10 @@ import re
 import regex
 
 #: White space of the tokenizers' patterns (Unicode White_Space), spelled out as regex engines differ.
-WHITE = r"\t-\r\x20\x85\xa0  -     　"
+WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: Characters on which Unicode versions, normal forms and lower-casing rules all agree.
-_ODD = re.compile(r"[^\t\n\r\x20-\x7e¡-¬®-įĲ-ž‐-‧‰-⁞]")
+_ODD = re.compile(r"[^\t\n\r\x20-\x7e\u00a1-\u00ac\u00ae-\u012f\u0132-\u017e\u2010-\u2027\u2030-\u205e]")
 
 
 #: Letters and digits among the plain characters, and the two patterns for texts of plain characters only.
