@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The white space that trimming of lines removes, and what stripping of payloads removes besides.
-WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 MIN_LEN, MIN_PRINTABLE_RATIO = 4, 0.30
 
