@@ -47,13 +47,20 @@ def masked(data: bytes) -> int:
     return ((c >> 15 | c << 17) + MASK) & 0xFFFFFFFF
 
 
-def frame(doc_id: int | None, ids: np.ndarray, width: int) -> bytes:
-    """One record without its newline."""
-    payload = BODY.pack(doc_id or 0, doc_id is None, width) + ids.astype(f"<u{width}").tobytes()
+def frame(doc_id: int | None, ids: bytes, width: int) -> bytes:
+    """One record without its newline; ids: little-endian, width bytes each."""
+    payload = BODY.pack(doc_id or 0, doc_id is None, width) + ids
     length = struct.pack("<Q", len(payload))
     return length + TAIL.pack(masked(length)) + payload + TAIL.pack(masked(payload))
 
 
+def _width(path: str, end_id: int) -> int:
+    """Bytes of an id: 2 if the vocabulary and the end id allow it, else 4."""
+    from tokenizers import Tokenizer
+
+    return 2 if max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+
+
 def unframe(data: bytes, offset: int = 0) -> tuple[int | None, np.ndarray, int]:
     """The document's id, the ids as unsigned 32-bit integers, and where the next record begins."""
     if offset + HEAD.size > len(data):
@@ -72,15 +79,13 @@ def unframe(data: bytes, offset: int = 0) -> tuple[int | None, np.ndarray, int]:
 
 def write_records(df: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> None:
     """Encode documents and write shards to path/data, in ascending order of doc_id, and path/index."""
-    spark = df.sparkSession
+    spark, width = df.sparkSession, _width(tokenizer or vocabulary("byte_bpe_50k.json"), end_id)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lib = library(tokenizer or vocabulary("byte_bpe_50k.json"))
-        width, last = 2 if max(lib.size, end_id + 1) <= 1 << 16 else 4, np.array([end_id], "<u4")
-        schema = pa.schema([("value", pa.binary())])
+        lib = library(tokenizer or vocabulary("byte_bpe_50k.json"), width=width)
+        last, schema = lib.packed([end_id]), pa.schema([("value", pa.binary())])
         for b in slices(batches):
-            ids = (np.concatenate([np.frombuffer(lib.encode(t), "<u4"), last]) for t in b.column(1).to_pylist())
-            yield batch(schema, [frame(d, x, width) for d, x in zip(b.column(0).to_pylist(), ids, strict=True)])
+            yield batch(schema, [frame(d, lib.encode(t) + last, width) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)])
 
     docs = documents(df)
     ordered = docs.repartitionByRange(partitions_for(df), F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"))

@@ -248,7 +248,7 @@ def _buckets(meetings: DataFrame, n: int) -> DataFrame:
         if held:
             yield from finish(held)
 
-    return meetings.repartition(n, "part").sortWithinPartitions("part").mapInArrow(run, _MET)
+    return meetings.repartitionById(n, "part").sortWithinPartitions("part").mapInArrow(run, _MET)
 
 
 def _streamed(key: int, finish, out_schema: str):
@@ -360,7 +360,7 @@ def clusters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     """Per document: doc_id, n_shingles and component_id, the least doc_id reachable by links."""
     threshold, n = Threshold(num, den), partitions_for(df, 16)
     docs = documents(df, id_col, text_col).select(F.coalesce("doc_id", F.lit(LEAST)).alias("doc_key"), "text")
-    met = written(_buckets(_meetings(docs, width, threshold, 4 * n), n), "buckets")
+    met = written(_buckets(_meetings(docs, width, threshold, n), n), "buckets")
     found = met.where(F.col("kind") == _DOC).select("doc_key", "size", "set_id")
     # the least document of each set stands for it, and has the set's text
     stands = found.where("size > 0").groupBy("set_id").agg(F.min("doc_key").alias("least"))

@@ -131,7 +131,7 @@ def _by_part(df: DataFrame, n: int, finish, schema: str) -> DataFrame:
         if held:
             yield from finish(held)
 
-    return df.repartition(n, "part").sortWithinPartitions("part").mapInArrow(run, schema)
+    return df.repartitionById(n, "part").sortWithinPartitions("part").mapInArrow(run, schema)
 
 
 _FLAG = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
@@ -262,9 +262,10 @@ def _kept(df: DataFrame, id_col: str, text_col: str, window: int, digest: bool)
     if window < PERIOD:
         raise ValueError(f"a window has at least {PERIOD} words")
     n = partitions_for(df, 16)
-    docs = _keyed(df, id_col, text_col, 4 * n)
-    flags = written(_repeated_anchors(_anchors(docs, window, 4 * n), n, 4 * n), "anchors")
-    repeats = written(_repeated_windows(_windows(docs, flags, window, 4 * n), n, 4 * n), "windows")
+    buckets = 2 * n  # more than tasks, as they are dealt to tasks by hash
+    docs = _keyed(df, id_col, text_col, buckets)
+    flags = written(_repeated_anchors(_anchors(docs, window, n), n, buckets), "anchors")
+    repeats = written(_repeated_windows(_windows(docs, flags, window, n), n, buckets), "windows")
     both = repeats.unionByName(flags.where(F.col("kind") == _COPY))
     return _removed(docs, both, window, digest)
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 
 import regex
 
@@ -68,26 +69,28 @@ class Table(dict):
 
 
 class Library:
-    """The tokenizers library over whole texts: ids as little-endian unsigned 32-bit integers.
+    """The tokenizers library over whole texts: ids as little-endian unsigned integers of width bytes.
 
     Texts with special strings or characters outside the plain set go to the library whole; of the
     others, every different piece goes to it once.  Both give the library's ids.
     """
 
-    def __init__(self, path: str, words: bool):
+    def __init__(self, path: str, words: bool = False, width: int = 4):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.size, self.width = self.tokenizer.get_vocab_size(), width
+        if self.size > 1 << 8 * width:
+            raise ValueError(f"ids of {self.size} tokens don't fit {width} bytes")
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
         self.words, self.split = words, _WORDS if words else _BYTE_LEVEL
-        self.table = Table(self.whole)
-        self.size = self.tokenizer.get_vocab_size()
+        self.table = Table(self.whole, entries=800_000 if width == 2 else 1_000_000, longest=14)
 
-    def whole(self, text: str) -> bytes:
-        import array
+    def packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
 
-        ids = array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
-        return ids.tobytes()
+    def whole(self, text: str) -> bytes:
+        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
         if odd(text) or self.special.search(text):
@@ -96,5 +99,5 @@ class Library:
 
 
 @functools.cache
-def library(path: str, words: bool = False) -> Library:
-    return Library(path, words)
+def library(path: str, words: bool = False, width: int = 4) -> Library:
+    return Library(path, words, width)
