@@ -38,7 +38,7 @@ def strip(c: Column) -> Column:
 
 def as_bytes_text(c: Column, binary: bool = False) -> Column:
     """A string with one character for each byte if the column is binary; else the string itself."""
-    return F.decode(c, F.lit("ISO-8859-1")) if binary else c
+    return F.decode(c, "ISO-8859-1") if binary else c
 
 
 def as_text(c: Column, binary: bool = False) -> Column:

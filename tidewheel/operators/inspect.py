@@ -99,7 +99,7 @@ def inspect(df: DataFrame, groups: Sequence[RuleGroup] = GROUPS, id_col: str = "
     ]
     if candidates:
         counted = candidate_counts([(g.bloom, g.window_len) for g in groups])
-        raw = F.encode(F.col("norm"), F.lit("ISO-8859-1")) if binary else F.col("norm").cast("binary")
+        raw = F.encode(F.col("norm"), "ISO-8859-1") if binary else F.col("norm").cast("binary")
         out.append(counted(F.when(short, F.lit(b"")).otherwise(raw)).alias("candidates"))
     return sized.select(*out)
 

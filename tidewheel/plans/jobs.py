@@ -55,7 +55,7 @@ CATEGORIES = {
         Category("DoS", lambda: F.col("label") != evaluate.BENIGN, True, t.slugify, 'label != "BENIGN"'),
         Category("Web-Attack", lambda: F.col("label").startswith("Web Attack"), True, t.subtype_slug, 'label starts with "Web Attack"'),
         Category("attack", lambda: (F.col("src_ip") == ATTACKER) & (F.col("dst_port") == FTP), legacy=True),
-        Category("benign-ftp", lambda: (F.col("dst_port") == FTP) & (F.col("src_ip") != ATTACKER) & ~t.starts_with_credential(F.decode("payload", F.lit("ISO-8859-1"))), legacy=True),
+        Category("benign-ftp", lambda: (F.col("dst_port") == FTP) & (F.col("src_ip") != ATTACKER) & ~t.starts_with_credential(F.decode("payload", "ISO-8859-1")), legacy=True),
         Category("benign-http", lambda: (F.col("dst_port") == HTTP) & F.col("src_ip").startswith(INTERNAL), legacy=True),
     )
 }

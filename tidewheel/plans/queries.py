@@ -47,6 +47,10 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("packet_id"), F.col("text").alias("payload"))
 
 
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("packet_id"), F.col("text").alias("payload"))
+
+
 # Parts of the SQL
 
 
@@ -142,9 +146,9 @@ def inspect_pages(spark, d):
     return inspect(read(spark, d, "pages"), TABLE_GROUPS, "page_id", "html")
 
 
-@query(_inspect("conversations", "conv_id * 100000 + turn", "text", TABLE_GROUPS).replace("SELECT conv_id * 100000 + turn,", "SELECT conv_id, turn,"))
+@query(_inspect("conversations", "conv_id * 100000 + turn", "text", TABLE_GROUPS).replace("(SELECT conv_id * 100000 + turn,", "(SELECT conv_id, turn,"))
 def inspect_conversations(spark, d):
-    return inspect(read(spark, d, "conversations").withColumn("packet_id", F.col("conv_id") * 100000 + F.col("turn")), TABLE_GROUPS, payload_col="text")
+    return inspect(turns(spark, d), TABLE_GROUPS)
 
 
 @query(_inspect("documents", "doc_id", "text", TABLE_GROUPS[6:7]))
@@ -162,14 +166,17 @@ def inspect_candidates_documents(spark, d):
     return inspect(docs(spark, d), TABLE_GROUPS, candidates=True)
 
 
-@query(f"SELECT packet_id FROM ({_inspect('benchmark', 'item_id', 'text', TABLE_GROUPS)}) WHERE alert")
+_TURN_ALERTS = f"SELECT conv_id * 100000 + turn AS packet_id FROM (SELECT conv_id, turn, {_norm('text')} AS n FROM conversations) WHERE {_alert('n', TABLE_GROUPS)}"
+
+
+@query(_TURN_ALERTS)
 def window_semi_join(spark, d):
-    return semi_join_alerts(items(spark, d), TABLE_GROUPS)
+    return semi_join_alerts(turns(spark, d), TABLE_GROUPS)
 
 
-@query(f"SELECT packet_id FROM ({_inspect('benchmark', 'item_id', 'text', TABLE_GROUPS)}) WHERE alert")
+@query(_TURN_ALERTS)
 def keyed_token_alerts(spark, d):
-    return keyed_alerts(items(spark, d), TABLE_GROUPS, "a key of the caller")
+    return keyed_alerts(turns(spark, d), TABLE_GROUPS, "a key of the caller")
 
 
 @query(f"SELECT packet_id, CAST(i AS INTEGER) AS position, substr(hex(encode(n)), CAST(2 * i + 1 AS INTEGER), 10) AS w FROM (SELECT item_id AS packet_id, n, unnest(range(0, strlen(n) - 4)) AS i FROM (SELECT item_id, {_norm('text')} AS n FROM benchmark))")
