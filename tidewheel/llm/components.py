@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,15 +29,42 @@ class Sets:
         return i != j
 
 
+CHUNK = 500_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of every CHUNK of edges, each node's link to the least node that it is connected with in it."""
+    up: dict[int, int] = {}
+
+    def find(n: int) -> int:
+        while (above := up.setdefault(n, n)) != n:
+            up[n] = n = up.setdefault(above, above)
+        return n
+
+    def out() -> pa.RecordBatch:
+        nodes = list(up)
+        pairs = [(r, n) for n in nodes if (r := find(n)) != n]
+        up.clear()
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    for b in batches:
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            x, y = find(x), find(y)
+            up[max(x, y)] = min(x, y)
+        if len(up) > CHUNK:
+            yield out()
+    yield out()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges: a, b (long).  For each node of an edge: node, component (the least node it is linked with).
 
-    In each round every node follows the neighbour of the least random rank, if that is below its own,
+    First, tasks replace the edges they have by forests.  Then, in each round, every node follows the neighbour of the least random rank, if that is below its own,
     and edges are redrawn between the nodes followed.  Ranks are drawn anew each round, so the expected
     number of nodes left falls by a constant factor, chains and stars included.  Each round's result is a
     written table; nothing but a yes or no comes to the driver.
     """
-    edges = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    edges = written(edges.where("a <> b").select("a", "b").mapInArrow(_forest, "a long, b long").distinct(), "edges")
     labels, left, turn = None, edges, 0
     while labels is None or not left.isEmpty():
         rank = lambda c, t=turn: F.xxhash64(c, F.lit(t))

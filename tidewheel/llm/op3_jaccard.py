@@ -201,6 +201,12 @@ def _meetings(docs: DataFrame, width: int, threshold: Threshold, n: int) -> Data
     return docs.mapInArrow(run, "part int, kind int, blob binary")
 
 
+def _named(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A name for each bucket by its members: parts that bring the same sets together are one bucket."""
+    begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    return mixed(np.add.reduceat(mixed(sets ^ _U(BASES[0])), begins) + sizes.astype(np.uint64)) >> _U(1)
+
+
 _MET = "kind int, bucket long, doc_key long, size long, set_id long"
 
 
@@ -221,16 +227,22 @@ def _buckets(meetings: DataFrame, n: int) -> DataFrame:
             new[1:] = (hashes[1:] != hashes[:-1]) | (sets[1:] != sets[:-1])
             hashes, sets = hashes[new], sets[new]
             _, begins, counts = np.unique(hashes, return_index=True, return_counts=True)
-            few = (counts > 1) & (counts <= BUCKET_BLOCK)
-            take = np.repeat(few, counts)
-            bucket, member = [hashes[take]], [sets[take]]
+            bucket, member = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+            if (few := (counts > 1) & (counts <= BUCKET_BLOCK)).any():
+                take = sets[np.repeat(few, counts)]
+                sizes = counts[few]
+                name = _named(take, sizes)
+                first = np.zeros(len(name), bool)
+                first[np.unique(name, return_index=True)[1]] = True
+                bucket.append(np.repeat(name, sizes)[np.repeat(first, sizes)])
+                member.append(take[np.repeat(first, sizes)])
             for at, m in zip(begins[counts > BUCKET_BLOCK].tolist(), counts[counts > BUCKET_BLOCK].tolist(), strict=True):
                 block = np.arange(m) // BUCKET_BLOCK
                 for i in range(block[-1] + 1):
                     for j in range(i, block[-1] + 1):
-                        both = (block == i) | (block == j)
-                        bucket.append(np.full(both.sum(), mixed(hashes[at : at + 1] + _U(((i << 20) + j) << 16))[0] >> _U(1)))
-                        member.append(sets[at : at + m][both])
+                        both = sets[at : at + m][(block == i) | (block == j)]
+                        bucket.append(np.repeat(_named(both, np.array([len(both)])), len(both)))
+                        member.append(both)
             bucket, member = np.concatenate(bucket), np.concatenate(member)
             k = len(member)
             zero = np.zeros(k, np.int64)
@@ -285,7 +297,7 @@ def _near(members: DataFrame, n: int, threshold: Threshold) -> DataFrame:
 
     def finish(t: pa.Table) -> Iterator[pa.RecordBatch]:
         bucket, ids, sizes = (t[c].to_numpy() for c in ("bucket", "set_id", "size"))
-        vectors = np.frombuffer(b"".join(t["vector"].to_pylist()), "<u4").reshape(-1, GROUPS)
+        vectors = np.stack([_vector(v) for v in t["vector"].to_pylist()])
         a, b = [], []
         two = np.flatnonzero(bucket[1:] == bucket[:-1])
         # buckets of two by the vector, larger ones by a tree
@@ -332,6 +344,16 @@ def _linked(members: DataFrame, n: int, threshold: Threshold) -> DataFrame:
     return members.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(*_streamed(0, finish, "a long, b long"))
 
 
+def _stored(vector: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs: 1, 2, 4 or 8."""
+    top = int(vector.max(initial=0))
+    return vector.astype(f"<u{next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)}").tobytes()
+
+
+def _vector(stored: bytes) -> np.ndarray:
+    return np.frombuffer(stored, f"<u{len(stored) // GROUPS}").astype(np.int64)
+
+
 def _vectors(docs: DataFrame, width: int) -> DataFrame:
     """doc_key, set_id, vector, shingles of documents."""
     schema = pa.schema([("doc_key", pa.int64()), ("set_id", pa.int64()), ("size", pa.int64()), ("vector", pa.binary()), ("shingles", pa.binary())])
@@ -339,8 +361,7 @@ def _vectors(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, SLICE):
             s = Shingles(b.column(1).to_pylist(), width)
-            v = s.vectors().astype("<u4")
-            yield batch(schema, b.column(0), s.sets().view(np.int64), s.sizes, [x.tobytes() for x in v], [s.value[i:j].tobytes() for i, j in zip(s.begins, s.begins[1:], strict=False)])
+            yield batch(schema, b.column(0), s.sets().view(np.int64), s.sizes, [_stored(v) for v in s.vectors()], [s.value[i:j].tobytes() for i, j in zip(s.begins, s.begins[1:], strict=False)])
 
     return docs.mapInArrow(run, "doc_key long, set_id long, size long, vector binary, shingles binary")
 
@@ -364,7 +385,8 @@ def clusters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     found = met.where(F.col("kind") == _DOC).select("doc_key", "size", "set_id")
     # the least document of each set stands for it, and has the set's text
     stands = found.where("size > 0").groupBy("set_id").agg(F.min("doc_key").alias("least"))
-    members = met.where(F.col("kind") == _PART).select("bucket", "set_id")
+    # sets that are near share many parts: their bucket is needed once
+    members = met.where(F.col("kind") == _PART).select("bucket", "set_id").distinct()
     wanted = members.select("set_id").distinct().join(stands, "set_id").select(F.col("least").alias("doc_key"))
     points = written(_vectors(docs.join(wanted.distinct(), "doc_key", "left_semi"), width), "points")
     vectors = points.dropDuplicates(["set_id"]).select("set_id", "size", "vector")
