@@ -40,7 +40,7 @@ from tidewheel.llm.common import batch, documents, partitions_for, slices, table
 from tidewheel.llm.components import Sets, components
 from tidewheel.llm.words import BASES, Slice, mixed, runs
 
-GROUPS, LEAF, SLICE = 32, 16, 1000
+GROUPS, LEAF, SLICE = 256, 16, 1000
 #: Sets in a block of a bucket; of a cell, the least and the most, and how many blocks before they grow.
 BUCKET_BLOCK, CELL_BLOCKS = 512, (64, 16384, 64)
 LEAST = -(1 << 63)
