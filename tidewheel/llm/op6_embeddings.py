@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tidewheel.llm.common import batch, slices, table, written
 from tidewheel.llm.components import Sets, components
 
-PIVOTS, SAMPLE, BLOCK = 512, 4096, 4096
+PIVOTS, SAMPLE, BLOCK = 512, 4096, 8192
 #: Radii of the levels below the root, which covers the sphere.
 RADII = (1.0, 0.5, 0.25, 0.125)
 #: Room for rounding in distances; what it lets through is decided by the cosine.
@@ -145,38 +145,109 @@ class Found:
             self.connect(int(a[i]), int(b[j]))
 
 
-def traverse(x: CoverTree, y: CoverTree, points: np.ndarray, shift: int, cosine: float, found: Found) -> None:
-    """Links between points of two trees, or within one if x is y.  Points of y come after shift others."""
-    reach = math.sqrt(2.0 - 2.0 * cosine)
-    same = x is y
-    stack = [(0, 0)] if len(x.begin) and len(y.begin) else []
-    while stack:
-        i, j = stack.pop()
-        own = same and i == j
-        kids_x, kids_y = x.children(i), y.children(j)
-        if not kids_x and not kids_y:
-            a = x.points(i)
-            b = a if own else y.points(j) + shift
-            linked = points[a] @ points[b].T >= cosine
-            if own:
-                np.fill_diagonal(linked, False)
-            found.some(a, b, linked)
-            continue
-        kids_x, kids_y = np.array(kids_x or [i]), np.array(kids_y or [j])
-        d = _distance(points[x.center[kids_x]] @ points[y.center[kids_y] + shift].T)
-        around = x.radius[kids_x][:, None] + y.radius[kids_y][None]
-        keep = d <= around + reach + SLACK
-        if own:
-            keep &= np.triu(np.ones_like(keep))
-        inside = keep & (d + around <= reach - SLACK)
-        for p, q in zip(*np.nonzero(keep), strict=True):
-            k, m = int(kids_x[p]), int(kids_y[q])
-            if inside[p, q] and not (same and k == m):
-                found.every(x.points(k), y.points(m) + shift, False)
-            elif inside[p, q] and 2 * x.radius[k] <= reach - SLACK:
-                found.every(x.points(k), x.points(k), True)
+class Traversal:
+    """Links between points of two trees, or within one if y is x.  Points of y come after shift others.
+
+    What is left to do is kept as one node and all nodes of the other tree that it can't be told apart from, so that
+    a step is one matrix product, however many pairs it prunes.
+    """
+
+    def __init__(self, x: CoverTree, y: CoverTree, points: np.ndarray, shift: int, cosine: float, found: Found):
+        self.trees, self.shifts, self.same = (x, y), (0, shift), x is y
+        self.points, self.cosine, self.found = points, cosine, found
+        self.reach = math.sqrt(2.0 - 2.0 * cosine)
+        self.stack: list[tuple[int, int, np.ndarray]] = []
+
+    def run(self) -> None:
+        x, y = self.trees
+        if not len(x.begin) or not len(y.begin):
+            return
+        if self.same:
+            self._within(0)
+        else:
+            self._step(0, np.array([0]), np.array([0]))
+        while self.stack:
+            side, i, others = self.stack.pop()
+            self._step(side, np.array(self.trees[side].children(i)), others)
+
+    def _own(self, side: int, node: int) -> np.ndarray:
+        return self.trees[side].points(node) + self.shifts[side]
+
+    def _within(self, i: int) -> None:
+        """Links within a node of the one tree."""
+        todo, tree = [i], self.trees[0]
+        while todo:
+            i = todo.pop()
+            if 2 * tree.radius[i] <= self.reach - SLACK:
+                self.found.every(tree.points(i), tree.points(i), True)
+            elif kids := tree.children(i):
+                self._step(0, np.array(kids), np.array(kids), True)
+                todo += [k for k in kids if tree.end[k] - tree.begin[k] > 1]
             else:
-                stack.append((k, m))
+                a = tree.points(i)
+                linked = self.points[a] @ self.points[a].T >= self.cosine
+                np.fill_diagonal(linked, False)
+                self.found.some(a, a, linked)
+
+    def _step(self, side: int, mine: np.ndarray, others: np.ndarray, above: bool = False) -> None:
+        """Nodes of one tree against nodes of the other; above: each pair of a list with itself once.
+
+        Nodes of one point have no radius: between them the cosine decides at once.
+        """
+        p, q = self.trees[side], self.trees[1 - side]
+        lone, also = p.end[mine] - p.begin[mine] == 1, q.end[others] - q.begin[others] == 1
+        self._points(side, mine[lone], others[also], above)
+        if above:
+            self._bounds(side, mine[~lone], others[~also], True)
+            self._bounds(side, mine[~lone], others[also])
+        else:
+            self._bounds(side, mine[~lone], others)
+            self._bounds(side, mine[lone], others[~also])
+
+    def _points(self, side: int, mine: np.ndarray, others: np.ndarray, above: bool) -> None:
+        p, q, f = self.trees[side], self.trees[1 - side], self.found
+        a, b = p.center[mine] + self.shifts[side], q.center[others] + self.shifts[1 - side]
+        linked = self.points[a] @ self.points[b].T >= self.cosine
+        i, j = np.nonzero(np.triu(linked, 1) if above else linked)
+        a, b = a[i], b[j]
+        np.add.at(f.links, a, f.weights[b])
+        np.add.at(f.links, b, f.weights[a])
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            f.connect(i, j)
+
+    def _bounds(self, side: int, mine: np.ndarray, others: np.ndarray, above: bool = False) -> None:
+        """Prune, count or keep pairs of nodes by their radii."""
+        if not len(mine) or not len(others):
+            return
+        p, q = self.trees[side], self.trees[1 - side]
+        d = _distance(self.points[p.center[mine] + self.shifts[side]] @ self.points[q.center[others] + self.shifts[1 - side]].T)
+        around = p.radius[mine][:, None] + q.radius[others][None]
+        keep = d <= around + self.reach + SLACK
+        if above:
+            keep = np.triu(keep, 1)
+        inside = keep & (d + around <= self.reach - SLACK)
+        for k, m in zip(*np.nonzero(inside), strict=True):
+            self.found.every(self._own(side, mine[k]), self._own(1 - side, others[m]), False)
+        keep &= ~inside
+        grows = p.after[mine] > mine + 1
+        for k in np.flatnonzero(grows & keep.any(axis=1)):
+            self.stack.append((side, int(mine[k]), others[keep[k]]))
+        keep[grows] = False
+        grows = q.after[others] > others + 1
+        for m in np.flatnonzero(grows & keep.any(axis=0)):
+            self.stack.append((1 - side, int(others[m]), mine[keep[:, m]]))
+        keep[:, grows] = False
+        self._leaves(side, *(x[at] for x, at in zip((mine, others), np.nonzero(keep), strict=True)))
+
+    def _leaves(self, side: int, mine: np.ndarray, others: np.ndarray) -> None:
+        """Pairs of nodes without children, one of them with more than one point."""
+        for k, m in zip(mine, others, strict=True):
+            a, b = self._own(side, k), self._own(1 - side, m)
+            self.found.some(a, b, self.points[a] @ self.points[b].T >= self.cosine)
+
+
+def traverse(x: CoverTree, y: CoverTree, points: np.ndarray, shift: int, cosine: float, found: Found) -> None:
+    Traversal(x, y, points, shift, cosine, found).run()
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
