@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     key = spark.sparkContext.applicationId
     if key not in _own:
@@ -71,12 +72,20 @@ def remove(spark: SparkSession, *frames: DataFrame | str) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def partitions_for(df: DataFrame, mb: int = 64) -> int:
-    """As many partitions as keep each at about mb of input, and the session's number at least."""
-    spark = df.sparkSession
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def size_of(df: DataFrame) -> int:
+    """Bytes of the files that a table is read from, by Spark's own statistics; 0 if it has none."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(least, min(size // (mb << 20), 200_000) if size < 1 << 55 else 0)
+    return size if size < 1 << 55 else 0
+
+
+def partitions_for(df: DataFrame, mb: int = 64) -> int:
+    """As many partitions as keep each at about mb of input: the session's number at least, 200,000 at most."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size_of(df) // (mb << 20), 200_000))
+
+
+def buckets_for(df: DataFrame, partitions: int, mb: int = 16) -> int:
+    """Two buckets a partition, which are dealt by hash, or as many as keep a bucket at about mb of input."""
+    return partitions * max(2, -(-size_of(df) // (partitions * mb << 20)))
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:

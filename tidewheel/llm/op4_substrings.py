@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewheel.llm.blobs import dealt, joined, ordered, pack, signed
-from tidewheel.llm.common import batch, partitions_for, slices, table, written
+from tidewheel.llm.common import batch, buckets_for, partitions_for, slices, table, written
 from tidewheel.llm.words import BASES, Slice, mixed, runs
 
 WINDOW = 20
@@ -262,7 +262,7 @@ def _kept(df: DataFrame, id_col: str, text_col: str, window: int, digest: bool)
     if window < PERIOD:
         raise ValueError(f"a window has at least {PERIOD} words")
     n = partitions_for(df, 16)
-    buckets = 2 * n  # more than tasks, as they are dealt to tasks by hash
+    buckets = buckets_for(df, n)
     docs = _keyed(df, id_col, text_col, buckets)
     flags = written(_repeated_anchors(_anchors(docs, window, n), n, buckets), "anchors")
     repeats = written(_repeated_windows(_windows(docs, flags, window, n), n, buckets), "windows")
