@@ -2,9 +2,10 @@
 
 Model.  Documents with a label are counted by word and class, a word once a document.  A word's weight is
 the log-odds of the toxic against the clean class, each with an informative Dirichlet prior proportional
-to the word's share in both together; it is kept if its z-score is so high that chance alone would bring
-one word there, and at most the FEATURES words of the highest z-scores are.  All other words have a small negative weight, chosen so that a clean
-document's expected score is negative.
+to the word's share in both together.  It is kept if its odds are at least EFFECT times as high, which common
+words of a class's longer texts aren't, and its z-score so high that chance alone would bring one word there;
+at most the FEATURES words of the highest z-scores are.  Any other word is one step down, by at least twice
+what a word of clean documents brings on average, so that their scores drift downward.
 
 Scan.  The maximal scoring segments of a document, all disjoint ones that can't be lengthened or
 shortened for a higher score, are found in one pass.  Those of a score that chance would rarely give in a
@@ -39,9 +40,11 @@ from pyspark.sql import functions as F
 
 from tidewheel.llm.common import batch, slices, table
 
-#: Bound on labelled documents for fitting, bound on kept words, weight of the prior against all counts.
-SAMPLE, FEATURES, PRIOR = 20_000, 5_000, 0.2
+#: Bound on labelled documents for fitting, bound on kept words, weight of the prior against all counts, least ratio of odds.
+SAMPLE, FEATURES, PRIOR, EFFECT = 20_000, 5_000, 0.2, 3.0
 THRESHOLD = 0.7
+#: Beyond this a tail's log-probability says nothing more; it keeps few extreme documents from ruling the fit.
+SURE = 20.0
 _WORD = re.compile(r"\w+")
 _SPLIT = "[^\\p{L}\\p{N}_]+"
 
@@ -85,11 +88,11 @@ class Model:
         return [(r - left, int(b), int(e)) for left, r, b, e in found], n
 
     def tail(self, score: float, n: int) -> float:
-        """Minus the log-probability that a clean document of n words has a segment of that score."""
+        """Minus the log-probability that a clean document of n words has a segment of that score, SURE at most."""
         if score <= 0:
             return 0.0
         x = self.rate * score - math.log(self.volume * max(n, 1))
-        return x if x > 30 else -math.log(-math.expm1(-math.exp(-x)))
+        return SURE if x > SURE else -math.log(-math.expm1(-math.exp(-x)))
 
     def score(self, text: str) -> tuple[float, list[tuple[float, int, int]]]:
         """The probability of the toxic class, and the significant segments."""
@@ -124,9 +127,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if not counts or not all(sum(c[k] for c in counts.values()) for k in (0, 1)):
         return Model({}, 1.0)
     least = statistics.NormalDist().inv_cdf(1 - 1 / (len(counts) + 1))
-    odds = sorted(((z, w, d) for w, (d, z) in _log_odds(counts).items() if z >= least), reverse=True)[:FEATURES]
-    # a step down for each other word, a twentieth of a median weight
-    model = Model({w: d for _, w, d in odds}, 0.05 * float(np.median([d for _, _, d in odds])) if odds else 1.0)
+    odds = sorted(((z, w, d) for w, (d, z) in _log_odds(counts).items() if z >= least and d >= math.log(EFFECT)), reverse=True)[:FEATURES]
+    clean_words = sum(c for _, c in counts.values())
+    drift = 2 * sum(counts[w][1] * d for _, w, d in odds) / clean_words
+    model = Model({w: d for _, w, d in odds}, max(drift, 0.02 * float(np.median([d for _, _, d in odds]))) if odds else 1.0)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("toxic", pa.int32()), ("n", pa.int64()), ("best", pa.float64())])
@@ -149,13 +153,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and offset of a logistic curve, by Newton steps with a little shrinkage."""
-    scale = max(1e-9, float(np.abs(x).max()))
+    scale = max(1e-9, float(x.std()))
     a = np.stack([x / scale, np.ones(len(x))], axis=1)
     w = np.zeros(2)
-    for _ in range(50):
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -500, 500)))
-        step = np.linalg.solve((a.T * (p * (1 - p))) @ a + 1e-3 * np.eye(2), a.T @ (y - p) - 1e-3 * w)
-        w += np.clip(step, -5, 5)
+        step = np.linalg.solve((a.T * (p * (1 - p))) @ a + 1e-2 * np.eye(2), a.T @ (y - p) - 1e-2 * w)
+        w += np.clip(step, -1, 1)
         if np.abs(step).max() < 1e-9:
             break
     return float(w[0] / scale), float(w[1])

@@ -84,7 +84,7 @@ class Library:
             raise ValueError(f"ids of {self.size} tokens don't fit {width} bytes")
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
         self.words, self.split = words, _WORDS if words else _BYTE_LEVEL
-        self.table = Table(self.whole, entries=800_000 if width == 2 else 1_000_000, longest=14)
+        self.table = Table(self.whole, entries=650_000 if width == 2 else 1_000_000, longest=14)
 
     def packed(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
