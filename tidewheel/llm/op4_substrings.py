@@ -274,10 +274,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """The rows with the text that is left, their other columns, n_words and n_removed.
 
     Texts that lose nothing stay as they are (null ones become empty); of others the kept words are joined by
-    one space.
+    one space.  Columns named n_words or n_removed are replaced.
     """
     kept = _kept(df, id_col, text_col, window, False)
-    return kept.select(*[(F.col("kept") if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in df.columns], "n_words", "n_removed")
+    own = [c for c in df.columns if c not in ("n_words", "n_removed")]
+    return kept.select(*[(F.col("kept") if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in own], "n_words", "n_removed")
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:

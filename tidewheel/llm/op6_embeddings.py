@@ -162,14 +162,28 @@ class Traversal:
         x, y = self.trees
         if not len(x.begin) or not len(y.begin):
             return
+        mine = self._front(0)
         if self.same:
-            self._within(0)
+            self._step(0, mine, mine, True)
+            for i in mine[x.end[mine] - x.begin[mine] > 1]:
+                self._within(int(i))
         else:
-            self._step(0, np.array([0]), np.array([0]))
+            self._step(0, mine, self._front(1))
         while self.stack:
             side, i, others = self.stack.pop()
             self._step(side, np.array(self.trees[side].children(i)), others)
 
+    def _front(self, side: int) -> np.ndarray:
+        """The nodes to begin with: two wider ones, on a sphere of diameter 2, are never so far apart as to be pruned."""
+        tree, front, todo = self.trees[side], [], [0]
+        while todo:
+            i = todo.pop()
+            kids = tree.children(i) if 2 * tree.radius[i] + self.reach >= 2.0 else []
+            todo += kids
+            if not kids:
+                front.append(i)
+        return np.array(front)
+
     def _own(self, side: int, node: int) -> np.ndarray:
         return self.trees[side].points(node) + self.shifts[side]
 
