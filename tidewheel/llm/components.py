@@ -64,7 +64,7 @@ def components(edges: DataFrame) -> DataFrame:
     number of nodes left falls by a constant factor, chains and stars included.  Each round's result is a
     written table; nothing but a yes or no comes to the driver.
     """
-    edges = written(edges.where("a <> b").select("a", "b").mapInArrow(_forest, "a long, b long").distinct(), "edges")
+    edges = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().mapInArrow(_forest, "a long, b long"), "edges")
     labels, left, turn = None, edges, 0
     while labels is None or not left.isEmpty():
         rank = lambda c, t=turn: F.xxhash64(c, F.lit(t))

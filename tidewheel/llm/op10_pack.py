@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewheel.llm.common import batch, documents, slices, table, written
-from tidewheel.llm.pieces import library, vocabulary
+from tidewheel.llm.pieces import keep_only, library, vocabulary
 
 CAPACITY = 4096
 END_ID = 1
@@ -160,6 +160,7 @@ def pieces(df: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lib = library(tokenizer or vocabulary("word_bpe_49k.json"), True)
+        keep_only(lib.table)
         shard, seen, last = TaskContext.get().partitionId(), Counter(), np.array([end_id], "<u4").tobytes()
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("shard", pa.int32()), ("rank", pa.int64())])
         for b in slices(batches):

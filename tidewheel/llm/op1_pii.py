@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewheel.llm.common import batch, documents, slices, table
+from tidewheel.llm.pieces import keep_only
 from tidewheel.llm.tagger import KINDS, Tagger, classes, spans, trained
 
 MARGIN = 40
@@ -142,6 +143,7 @@ def detect(df: DataFrame, model: Tagger | None = None, id_col: str = "doc_id", t
     schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_added", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         for b in slices(batches):
             found = find(b.column(1).to_pylist(), model)
             counts = [[sum(s[0] == k for s in base) for base, _ in found] for k in KINDS]
@@ -156,6 +158,7 @@ def redact(df: DataFrame, text_col: str = "text", model: Tagger | None = None) -
     at, names = df.columns.index(text_col), df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         for b in slices(batches):
             texts = b.column(at).to_pylist()
             new = [t if t is None else redacted(t, x) for t, (_, x) in zip(texts, find([t or "" for t in texts], model), strict=True)]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewheel.llm.common import batch, documents, new_path, partitions_for, releasing_shuffles, slices, table
-from tidewheel.llm.pieces import library, vocabulary
+from tidewheel.llm.pieces import keep_only, library, vocabulary
 
 MASK = 0xA282EAD8
 HEAD, TAIL, BODY = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<qBB")
@@ -83,6 +83,7 @@ def write_records(df: DataFrame, path: str, tokenizer: str | None = None, end_id
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lib = library(tokenizer or vocabulary("byte_bpe_50k.json"), width=width)
+        keep_only(lib.table)
         last, schema = lib.packed([end_id]), pa.schema([("value", pa.binary())])
         for b in slices(batches):
             yield batch(schema, [frame(d, lib.encode(t) + last, width) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)])

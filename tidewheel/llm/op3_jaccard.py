@@ -38,9 +38,10 @@ from pyspark.sql import functions as F
 from tidewheel.llm.blobs import dealt, joined, ordered, signed
 from tidewheel.llm.common import batch, documents, partitions_for, slices, table, written
 from tidewheel.llm.components import Sets, components
+from tidewheel.llm.pieces import trim
 from tidewheel.llm.words import BASES, Slice, mixed, runs
 
-GROUPS, LEAF, SLICE = 256, 16, 1000
+GROUPS, LEAF, SLICE = 256, 16, 500
 #: Sets in a block of a bucket; of a cell, the least and the most, and how many blocks before they grow.
 BUCKET_BLOCK, CELL_BLOCKS = 512, (64, 16384, 64)
 LEAST = -(1 << 63)
@@ -197,6 +198,7 @@ def _meetings(docs: DataFrame, width: int, threshold: Threshold, n: int) -> Data
                 out += [(p, _PART, x) for p, x in dealt((hashes % _U(n)).astype(np.int64), hashes, sets[owner])]
             turn += 1
             yield batch(_BLOB, *(zip(*out, strict=True) if out else [[]] * 3))
+        trim()
 
     return docs.mapInArrow(run, "part int, kind int, blob binary")
 

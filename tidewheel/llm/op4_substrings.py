@@ -33,11 +33,12 @@ from pyspark.sql import types as T
 
 from tidewheel.llm.blobs import dealt, joined, ordered, pack, signed
 from tidewheel.llm.common import batch, buckets_for, partitions_for, slices, table, written
+from tidewheel.llm.pieces import trim
 from tidewheel.llm.words import BASES, Slice, mixed, runs
 
 WINDOW = 20
 PERIOD, COVER = 13, (0, 1, 3, 9)
-SLICE = 1000
+SLICE = 500
 _U = np.uint64
 _BLOB = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 #: kinds of blobs: anchors and whole documents that meet, and anchors and documents known to be repeated
@@ -96,6 +97,7 @@ def _anchors(docs: DataFrame, window: int, parts: int) -> DataFrame:
             if len(late):
                 out.append((int(keys[full][late[0]] % _U(parts)), _COPY, pack(keys[full][late], subs[full][late])))
             yield batch(_BLOB, *(zip(*out, strict=True) if out else [[]] * 3))
+        trim()
 
     return docs.select("key", "sub", "text").mapInArrow(run, "part int, kind int, blob binary")
 

@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.llm.common import batch, slices, table
+from tidewheel.llm.pieces import keep_only
 
 #: Bound on labelled documents for fitting, bound on kept words, weight of the prior against all counts, least ratio of odds.
 SAMPLE, FEATURES, PRIOR, EFFECT = 20_000, 5_000, 0.2, 3.0
@@ -133,6 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     model = Model({w: d for _, w, d in odds}, max(drift, 0.02 * float(np.median([d for _, _, d in odds]))) if odds else 1.0)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         schema = pa.schema([("toxic", pa.int32()), ("n", pa.int64()), ("best", pa.float64())])
         for b in slices(batches):
             found = [model.segments(t) for t in b.column(1).to_pylist()]
@@ -189,6 +191,7 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         for b in slices(batches):
             yield b.filter(pa.array([model.score(t or "")[0] < threshold for t in b.column(at).to_pylist()], pa.bool_()))
 

@@ -6,6 +6,8 @@ table from piece to result encodes a corpus with one library call for each diffe
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import re
 import struct
@@ -55,8 +57,11 @@ def vocabulary(name: str) -> str:
 class Table(dict):
     """From piece to value, made at need; it is emptied when full, and long pieces are not kept."""
 
+    every: list[Table] = []
+
     def __init__(self, make, entries: int = 600_000, longest: int = 12):
         super().__init__()
+        self.every.append(self)
         self.make, self.entries, self.longest = make, entries, longest
 
     def __missing__(self, piece):
@@ -68,6 +73,20 @@ class Table(dict):
         return value
 
 
+def keep_only(*tables: Table) -> None:
+    """Empty all other tables: a Python worker goes from operator to operator and would hold those of each."""
+    for t in Table.every:
+        if t and all(t is not k for k in tables):
+            t.clear()
+            trim()
+
+
+def trim() -> None:
+    """Give memory that is free back to the system, where the C library can."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Library:
     """The tokenizers library over whole texts: ids as little-endian unsigned integers of width bytes.
 
@@ -84,7 +103,7 @@ class Library:
             raise ValueError(f"ids of {self.size} tokens don't fit {width} bytes")
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
         self.words, self.split = words, _WORDS if words else _BYTE_LEVEL
-        self.table = Table(self.whole, entries=650_000 if width == 2 else 1_000_000, longest=14)
+        self.table = Table(self.whole, entries=650_000, longest=14)
 
     def packed(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)

@@ -8,7 +8,7 @@ from itertools import chain
 import numpy as np
 import xxhash
 
-from tidewheel.llm.pieces import Table
+from tidewheel.llm.pieces import Table, keep_only
 
 #: Odd multipliers of two polynomial hashes, and of a bit mixer.
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -17,7 +17,7 @@ _U = np.uint64
 
 @functools.cache
 def hasher() -> Table:
-    return Table(xxhash.xxh3_64_intdigest, entries=500_000, longest=64)
+    return Table(xxhash.xxh3_64_intdigest, entries=300_000, longest=64)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -55,6 +55,7 @@ class Slice:
         self.words = [(t.encode().lower() if lower else t.encode()).split() for t in texts]
         self.counts = np.array([len(w) for w in self.words], np.int64)
         self.begins = np.concatenate([[0], np.cumsum(self.counts)])
+        keep_only(hasher())
         get = hasher().__getitem__
         self.hashes = np.fromiter(chain.from_iterable(map(get, w) for w in self.words), np.uint64, int(self.begins[-1]))
         self.document = np.repeat(np.arange(len(texts)), self.counts)
