@@ -76,7 +76,7 @@ def test_jaccard_large_group(spark, documents, monkeypatch):
 def test_threshold_parts_are_enough():
     for num, den in ((90, 100), (8, 10), (1, 2)):
         t = op3_jaccard.Threshold(num, den)
-        for k in range(25):
+        for k in range(15):
             low, high, parts, spare = t.class_at(k)
             most = 2 * high * (den - num) // (den + num)
             assert parts - spare > most and t.class_at(k + 1)[0] == high + 1

@@ -71,8 +71,8 @@ class Threshold:
         spare = 0
         if most:
             before = self.class_at(k - 1)[0] if k else low
-            while spare < 2 * (most + 1 + spare) * math.exp(-before / (most + 1 + spare)) and spare < 4 * most + 4:
-                spare += 1
+            while (need := math.ceil(2 * (most + 1 + spare) * math.exp(-before / (most + 1 + spare)))) > spare and spare < 4 * most + 4:
+                spare = need
         return low, high, most + 1 + spare, spare
 
     def classes(self, sizes: np.ndarray) -> np.ndarray:
@@ -356,16 +356,17 @@ def _vector(stored: bytes) -> np.ndarray:
     return np.frombuffer(stored, f"<u{len(stored) // GROUPS}").astype(np.int64)
 
 
-def _vectors(docs: DataFrame, width: int) -> DataFrame:
-    """doc_key, set_id, vector, shingles of documents."""
-    schema = pa.schema([("doc_key", pa.int64()), ("set_id", pa.int64()), ("size", pa.int64()), ("vector", pa.binary()), ("shingles", pa.binary())])
+def _points(docs: DataFrame, width: int, sets: bool) -> DataFrame:
+    """set_id, size, and the count vector of each document, or its shingles if sets."""
+    schema = pa.schema([("set_id", pa.int64()), ("size", pa.int64()), ("held", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, SLICE):
-            s = Shingles(b.column(1).to_pylist(), width)
-            yield batch(schema, b.column(0), s.sets().view(np.int64), s.sizes, [_stored(v) for v in s.vectors()], [s.value[i:j].tobytes() for i, j in zip(s.begins, s.begins[1:], strict=False)])
+            s = Shingles(b.column(0).to_pylist(), width)
+            held = [s.value[i:j].tobytes() for i, j in zip(s.begins, s.begins[1:], strict=False)] if sets else [_stored(v) for v in s.vectors()]
+            yield batch(schema, s.sets().view(np.int64), s.sizes, held)
 
-    return docs.mapInArrow(run, "doc_key long, set_id long, size long, vector binary, shingles binary")
+    return docs.select("text").mapInArrow(run, "set_id long, size long, held binary")
 
 
 def _cell_blocks(cells: DataFrame) -> DataFrame:
@@ -389,12 +390,14 @@ def clusters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     stands = found.where("size > 0").groupBy("set_id").agg(F.min("doc_key").alias("least"))
     # sets that are near share many parts: their bucket is needed once
     members = met.where(F.col("kind") == _PART).select("bucket", "set_id").distinct()
-    wanted = members.select("set_id").distinct().join(stands, "set_id").select(F.col("least").alias("doc_key"))
-    points = written(_vectors(docs.join(wanted.distinct(), "doc_key", "left_semi"), width), "points")
-    vectors = points.dropDuplicates(["set_id"]).select("set_id", "size", "vector")
+    of = lambda sets: docs.join(sets.join(stands, "set_id").select(F.col("least").alias("doc_key")), "doc_key", "left_semi")
+    points = written(_points(of(members.select("set_id").distinct()), width, False), "points")
+    vectors = points.dropDuplicates(["set_id"]).withColumnRenamed("held", "vector")
     near = _near(members.join(vectors, "set_id").select("bucket", "set_id", "size", "vector"), n, threshold)
     cells = written(components(near), "cells")
-    shingles = points.dropDuplicates(["set_id"]).select(F.col("set_id").alias("node"), F.col("set_id"), "shingles")
+    # few sets are left in cells; only theirs are read and moved whole
+    shingles = _points(of(cells.select(F.col("node").alias("set_id"))), width, True).dropDuplicates(["set_id"])
+    shingles = shingles.select(F.col("set_id").alias("node"), "set_id", F.col("held").alias("shingles"))
     links = _linked(_cell_blocks(cells).join(shingles, "node").select("cell", "set_id", "shingles"), n, threshold)
     # rows that share an id are one document
     by_set = found.where("size > 0").join(stands, "set_id")
