@@ -17,9 +17,13 @@ from tidewheel.llm.common import table, written
 SHINGLE, NUM, DEN = 5, 8, 10
 
 
+#: Whether a text has words, white space being that of operator 3.
+_HAS_WORDS = r"coalesce(text rlike r'[^\x20\x09-\x0D]', false)"
+
+
 def _keyed(df: DataFrame) -> DataFrame:
-    """Rows of a null id have none to be joined by; they are told apart from each other by the text's hash."""
-    return df.withColumn("_key", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))))
+    """Each row has a key of its own, a hash of id and text: null ids and ids that rows share are told apart by the text."""
+    return df.withColumn("_key", F.xxhash64("doc_id", "text"))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,13 +36,20 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of the least id; documents without words all stay."""
-    groups = op3_jaccard.clusters(docs, width=SHINGLE, num=NUM, den=DEN)
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")) | (F.col("n_shingles") == 0))
-    ids = keep.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_key")).distinct()
-    kept = _keyed(docs).join(ids, "_key", "left_semi")
-    # rows that share an id are one document: the first by text stays
-    return kept.groupBy("_key").agg(F.min(F.struct("text", *[c for c in docs.columns if c != "text"])).alias("row")).select(*[F.col(f"row.{c}").alias(c) for c in docs.columns])
+    """Of each group of linked rows the one of the least id, null ids first, then of the least hash; rows without words all stay.
+
+    Rows that share an id are documents of their own: of them, too, only those whose texts link are one group.
+    """
+    rows = _keyed(docs.where(_HAS_WORDS))
+    key = lambda c: F.coalesce(c, F.lit(op3_jaccard.LEAST))
+    groups = op3_jaccard.clusters(rows, "_key", width=SHINGLE, num=NUM, den=DEN)
+    groups = groups.select(key("doc_id").alias("_key"), key("component_id").alias("_group")).distinct()
+    ids = groups.join(rows.select("_key", "doc_id").distinct(), "_key")
+    keep = ids.groupBy("_group").agg(F.min(F.struct("doc_id", "_key")).alias("least")).select("least._key")
+    kept = rows.join(keep, "_key", "left_semi")
+    # rows of one id and one text: the first by the other columns stays
+    one = kept.groupBy("_key").agg(F.min(F.struct("text", *[c for c in docs.columns if c != "text"])).alias("row"))
+    return one.select(*[F.col(f"row.{c}").alias(c) for c in docs.columns]).unionByName(docs.where(f"not {_HAS_WORDS}"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -239,6 +239,23 @@ def test_pipeline_near_duplicate_stage(spark, documents):
     assert kept == sorted(i for i, c in closure(range(100), links).items() if i == c)
 
 
+def test_pipeline_near_duplicates_of_null_and_shared_ids(spark, documents):
+    def text(name, n=60):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    rows = [
+        *((None, text(x)) for x in "abc"), (None, ""), (None, None), (None, ""),  # null ids: all differ, or have no words
+        (5, text("d")), (5, text("e")), (6, text("d") + " z"), (7, text("e")), (5, ""),  # one id, two texts and an empty one; copies of both
+        (3, text("f")), (4, text("g")), (9, text("f")), (9, text("g") + " z"),  # the texts of 9 link with two documents apart
+        (11, text("h")), (11, text("h")), (12, text("i")), (12, text("i") + " z"), (1, text("c")),  # the same row, and near copies, of one id
+    ]
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, documents([t for _, t in rows], [i for i, _ in rows]), "").collect()]
+    twelve = [r for r in got if r[0] == 12]
+    assert len(twelve) == 1 and twelve[0] in rows
+    want = [*rows[:6], (5, text("d")), (5, text("e")), (5, ""), (3, text("f")), (4, text("g")), (11, text("h")), *twelve]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_pipeline_passage_stage(spark, documents):
     texts = corpus(13, 80)
     rows = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_passages(spark, documents(texts), "").collect()}
