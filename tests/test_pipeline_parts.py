@@ -103,3 +103,12 @@ def test_reports(spark):
     assert {r["bin"]: r["n"] for r in report.auto_histogram(df, F.col("v"), 2).collect()} == {0: 2, 1: 3}
     assert report.auto_histogram(df.limit(0), F.col("v"), 2).count() == 0
     assert tuple(report.box_stats(df, F.col("v")).first()) == (1.0, 5.0, 10.0)
+
+
+def test_whole_histogram_has_the_longest(spark):
+    values = [0, 10, 19_999, 20_001, 128_657, None]
+    df = spark.createDataFrame([("en", v) for v in values] + [("de", 5)], "lang string, n_chars long")
+    got = {(r["lang"], r["bin"]): r["n"] for r in report.whole_histogram(df, F.col("n_chars"), 40, ("lang",)).collect()}
+    assert got == {("en", 0): 2, ("en", 5): 2, ("en", 38): 1, ("de", 0): 1}
+    assert report.whole_histogram(df.where("n_chars = 0"), F.col("n_chars"), 40).first()["n"] == 1
+    assert report.whole_histogram(df.limit(0), F.col("n_chars"), 40).count() == 0

@@ -22,6 +22,12 @@ def auto_histogram(df: DataFrame, value: Column, bins: int, by: tuple[str, ...]
     return histogram(df, value, ends["a"], high, bins, by)
 
 
+def whole_histogram(df: DataFrame, value: Column, bins: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """A histogram from 0 to 1.05 times the greatest value, so no value from 0 on lies outside."""
+    top = df.agg(F.max(value.cast("double"))).first()[0]
+    return histogram(df, value, 0.0, top * 1.05 if top and top > 0 else 1.0, bins, by)
+
+
 def box_stats(df: DataFrame, value: Column, by: tuple[str, ...] = ()) -> DataFrame:
     """The quartiles, interpolated."""
     q = F.percentile(value, [0.25, 0.5, 0.75])

@@ -612,6 +612,11 @@ def duration_histogram(spark, d):
     return report.histogram(read(spark, d, "documents"), F.col("n_chars"), 0.0, 20000.0, 40, ("lang",))
 
 
+@query("SELECT lang, CAST(least(floor(n_chars / (m * CAST(1.05 AS DOUBLE) / 40)), 39) AS INTEGER) AS bin, count(*) AS n FROM documents, (SELECT CAST(max(n_chars) AS DOUBLE) AS m FROM documents) GROUP BY 1, 2")
+def duration_histogram_whole(spark, d):
+    return report.whole_histogram(read(spark, d, "documents"), F.col("n_chars"), 40, ("lang",))
+
+
 @query("SELECT lang, round(quantile_cont(n_chars, 0.25), 4) AS q1, round(quantile_cont(n_chars, 0.5), 4) AS q2, round(quantile_cont(n_chars, 0.75), 4) AS q3 FROM documents GROUP BY lang")
 def length_quartiles(spark, d):
     return report.box_stats(read(spark, d, "documents"), F.col("n_chars"), ("lang",)).select("lang", *_rounded("q1", "q2", "q3", n=4))
