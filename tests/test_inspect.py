@@ -119,3 +119,30 @@ def test_missing_label_differs_by_place(spark):
 def test_empty_input_has_zero_metrics(spark):
     s = evaluate.summary(results(spark).limit(0)).first().asDict()
     assert s["total"] == 0 and s["f1"] == 0.0 and s["mcc"] == 0.0 and s["avg_time_ms"] == 0.0
+
+
+def test_packet_report_of_documents(spark, tmp_path):
+    from tidewheel.plans import queries
+
+    texts = {1: "a TOKEN in plain text " * 40, 2: "ok", 3: "nothing of that kind here", 4: "the user of a license", 5: "track( me", 6: None}
+    toxic = {1: 1, 3: 0, 4: 0, 2: 1}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    run = lambda name: queries.queries()[name](spark, str(tmp_path)).collect()
+    got = {r["packet_id"]: r for r in run("packet_csv_rows_documents")}
+    assert set(got) == set(texts)
+    pct = []
+    for i, text in texts.items():
+        alert, skipped, windows, candidates = reference((text or "").encode(), queries.TABLE_GROUPS)
+        label = {1: "TOXIC", 0: "BENIGN", None: "UNKNOWN"}[toxic.get(i)]
+        attack, hit, r = label != "BENIGN", alert and not skipped, got[i]
+        assert (r["alert"], r["label"], r["windows"], r["candidates"]) == (alert, label, windows, candidates)
+        assert (r["tp"], r["tn"], r["fp"], r["fn"]) == (attack and hit, not attack and not hit, not attack and hit, attack and not hit)
+        if windows:
+            pct.append((windows, candidates))
+    (rate,) = run("pruning_rate_documents")
+    w, c = (sum(x) for x in zip(*pct, strict=True))
+    assert (rate["total_windows"], rate["total_candidates"]) == (w, c) and rate["pruning_rate"] == pytest.approx(1 - c / w, abs=1e-6)
+    each = [got[i]["pruning_pct"] for i in got if got[i]["windows"]]
+    assert run("pruning_mean_documents")[0][0] == pytest.approx(sum(each) / len(each), abs=1e-6)
+    assert sum(r["n"] for r in run("pruning_histogram_documents")) == len(pct)

@@ -267,6 +267,15 @@ def packet_csv_rows(spark, d):
     return evaluate.packet_rows(labelled).drop("duration_ms")
 
 
+def inspected_documents(spark, d):
+    return evaluate.with_labels(inspect(docs(spark, d), TABLE_GROUPS, candidates=True), doc_labels(spark, d))
+
+
+@query(None)  # as inspect_candidates_documents
+def packet_csv_rows_documents(spark, d):
+    return evaluate.packet_rows(inspected_documents(spark, d)).drop("duration_ms")
+
+
 @query(f"SELECT 'documents' AS run, total, skipped, tp, tn, fp, fn, {_sql_rounded('accuracy', 'precision', 'recall', 'f1', 'fpr', 'fnr', 'mcc', n=4)}, w AS total_windows FROM ({_METRICS}), (SELECT CAST(sum(windows) AS BIGINT) AS w FROM {_LABELLED} WHERE NOT skipped)")
 def summary_row(spark, d):
     s = evaluate.summary(labelled_documents(spark, d), "documents")
@@ -279,6 +288,11 @@ def pruning_rate(spark, d):
     return evaluate.summary(labelled).select("total_windows", "total_candidates", *_rounded("pruning_rate"))
 
 
+@query(None)  # as inspect_candidates_documents
+def pruning_rate_documents(spark, d):
+    return evaluate.summary(inspected_documents(spark, d)).select("total_windows", "total_candidates", *_rounded("pruning_rate"))
+
+
 @query("SELECT round(avg(n_chars), 4) AS avg_time_ms, CAST(min(n_chars) AS DOUBLE) AS min_time_ms, CAST(max(n_chars) AS DOUBLE) AS max_time_ms FROM documents WHERE strlen(text) >= 5")
 def timing_summary(spark, d):
     timed = read(spark, d, "documents").select(F.col("doc_id").alias("packet_id"), F.col("n_chars").cast("double").alias("duration_ms"))
@@ -635,6 +649,16 @@ def pruning_mean(spark, d):
     return report.pruning_mean(packet_csv_rows(spark, d)).select(*_rounded("mean_pruning_pct"))
 
 
+@query(None)  # as inspect_candidates_documents
+def pruning_histogram_documents(spark, d):
+    return report.pruning_profile(packet_csv_rows_documents(spark, d))
+
+
+@query(None)  # as inspect_candidates_documents
+def pruning_mean_documents(spark, d):
+    return report.pruning_mean(packet_csv_rows_documents(spark, d)).select(*_rounded("mean_pruning_pct"))
+
+
 @query(f"SELECT outcome, n, round(100.0 * n / total, 6) AS share_pct FROM (SELECT total, unnest(['TP', 'TN', 'FP', 'FN']) AS outcome, unnest([tp, tn, fp, fn]) AS n FROM ({_CONFUSION}))")
 def outcome_shares(spark, d):
     return report.outcome_shares(evaluate.confusion(labelled_documents(spark, d))).withColumn("share_pct", F.round("share_pct", 6))
