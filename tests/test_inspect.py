@@ -146,3 +146,13 @@ def test_packet_report_of_documents(spark, tmp_path):
     each = [got[i]["pruning_pct"] for i in got if got[i]["windows"]]
     assert run("pruning_mean_documents")[0][0] == pytest.approx(sum(each) / len(each), abs=1e-6)
     assert sum(r["n"] for r in run("pruning_histogram_documents")) == len(pct)
+
+
+def test_slugs_of_whole_documents(spark, tmp_path):
+    import hashlib
+
+    from tidewheel.plans import queries
+
+    spark.createDataFrame([(1, "é" * 60 + " Late, words"), (2, "a " * 40 + "end")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["digest"] for r in queries.queries()["slugify_whole"](spark, str(tmp_path)).collect()}
+    assert got == {i: hashlib.md5(x.encode()).hexdigest() for i, x in ((1, "Late-words"), (2, "a-" * 40 + "end"))}

@@ -364,6 +364,11 @@ def slugify(spark, d):
     return read(spark, d, "documents").select("doc_id", t.slugify(F.substring("text", 1, 60)).alias("slug"))
 
 
+@query(f"SELECT doc_id, md5({_slug('text')}) AS digest FROM documents")
+def slugify_whole(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.md5(t.slugify(F.col("text")).cast("binary")).alias("digest"))
+
+
 _WEB = "CASE doc_id % 5 WHEN 0 THEN 'Web Attack ~ Brute Force' WHEN 1 THEN 'Web Attack - XSS' WHEN 2 THEN 'Web Attack Sql Injection' WHEN 3 THEN concat(source, ' / ', lang) ELSE '' END"
 
 
