@@ -154,5 +154,5 @@ def test_slugs_of_whole_documents(spark, tmp_path):
     from tidewheel.plans import queries
 
     spark.createDataFrame([(1, "é" * 60 + " Late, words"), (2, "a " * 40 + "end")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r["digest"] for r in queries.queries()["slugify_whole"](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r["digest"] for r in queries.queries()["slugify"](spark, str(tmp_path)).collect()}
     assert got == {i: hashlib.md5(x.encode()).hexdigest() for i, x in ((1, "Late-words"), (2, "a-" * 40 + "end"))}

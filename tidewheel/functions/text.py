@@ -17,23 +17,14 @@ SEPARATORS = "\x1c\x1d\x1e\x1f"
 MIN_LEN, MIN_PRINTABLE_RATIO = 4, 0.30
 
 
-def _class(chars: str) -> str:
-    return "".join(f"\\x{{{ord(c):x}}}" for c in chars)
-
-
-def _stripped(c: Column, chars: str) -> Column:
-    k = _class(chars)
-    return F.regexp_replace(c, f"^[{k}]+|[{k}]+$", "")
-
-
 def trim_unicode(c: Column) -> Column:
-    """Without the white space of Unicode at both ends."""
-    return _stripped(c, WHITE_SPACE)
+    """Without the white space of Unicode at both ends; each end is walked once."""
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def strip(c: Column) -> Column:
     """Without white space and the four information separators at both ends."""
-    return _stripped(c, WHITE_SPACE + SEPARATORS)
+    return F.btrim(c, F.lit(WHITE_SPACE + SEPARATORS))
 
 
 def as_bytes_text(c: Column, binary: bool = False) -> Column:
@@ -79,8 +70,9 @@ def clean_text(c: Column, binary: bool = False) -> Column:
 
 def clean_line(c: Column, min_len: int = MIN_LEN, binary: bool = False) -> Column:
     """The cleaned text, or null if it has fewer than min_len characters."""
-    line = clean_text(c, binary)
-    return F.when(F.length(line) >= min_len, line)
+    # an array of one is a let: the line is made once, though it is named twice
+    once = F.transform(F.array(clean_text(c, binary)), lambda x: F.when(F.length(x) >= min_len, x))
+    return F.get(once, F.lit(0))
 
 
 def bytes_to_line(c: Column, min_len: int = MIN_LEN, threshold: float = MIN_PRINTABLE_RATIO, binary: bool = False) -> Column:
@@ -132,9 +124,8 @@ def byte_bits(c: Column) -> Column:
 
 def payload_bytes(c: Column) -> Column:
     """The bytes of a string or binary column as an array of numbers."""
-    text = F.hex(c.cast("binary"))
-    size = F.octet_length(c)
-    each = F.transform(F.sequence(F.lit(1), size), lambda i: F.conv(F.substr(text, 2 * i - 1, F.lit(2)), 16, 10).cast("int"))
+    raw, size = c.cast("binary"), F.octet_length(c)
+    each = F.transform(F.sequence(F.lit(1), size), lambda i: F.conv(F.hex(F.substr(raw, i, F.lit(1))), 16, 10).cast("int"))
     return F.when(size > 0, each).otherwise(F.array().cast("array<int>"))
 
 

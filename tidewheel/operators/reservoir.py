@@ -27,15 +27,24 @@ def first_k(df: DataFrame, k: int, by: list[str], order: list[Column]) -> DataFr
 def verdicts(df: DataFrame, min_ratio: float = t.MIN_PRINTABLE_RATIO, min_len: int = t.MIN_LEN, payload: str = "payload") -> DataFrame:
     """category, seq, line and gate (not_printable, too_short or ok) of each offered row."""
     binary = df.schema[payload].dataType.typeName() == "binary"
-    printable = t.is_printable_enough(F.col(payload), min_ratio, binary)
-    line = t.clean_line(F.col(payload), min_len, binary)
-    gate = F.when(~printable, "not_printable").when(line.isNull(), "too_short").otherwise("ok")
-    return df.select("category", "seq", F.when(printable, line).alias("line"), gate.alias("gate"))
+    p = F.col(payload)
+    # a projection of its own, so that ratio and line are computed once a row, and the line of printable rows only
+    once = df.select("category", "seq", p, t.is_printable_enough(p, min_ratio, binary).alias("_printable"))
+    cleaned = once.select("category", "seq", "_printable", F.when(F.col("_printable"), t.clean_text(p, binary)).alias("_line"))
+    long_enough = F.length("_line") >= min_len
+    gate = F.when(~F.col("_printable"), "not_printable").when(long_enough, "ok").otherwise("too_short")
+    return cleaned.select("category", "seq", F.when(long_enough, F.col("_line")).alias("line"), gate.alias("gate"))
 
 
-def first_seen(v: DataFrame) -> DataFrame:
-    """category, line, seq: the first row of each line that passed the gates."""
-    return v.where("gate = 'ok'").groupBy("category", "line").agg(F.min("seq").alias("seq"))
+def first_seen(v: DataFrame, by: tuple[str, ...] = ("line",)) -> DataFrame:
+    """category, line, seq: the first row of each line that passed the gates.
+
+    The gate is looked at within the aggregation: a filter before it would be pushed into the scan and clean every
+    text again.  All rows that fail in a category are one partial row a task.
+    """
+    passed = F.col("gate") == "ok"
+    lines = v.select("category", "seq", passed.alias("_ok"), *[F.when(passed, F.col(c)).alias(c) for c in by])
+    return lines.groupBy("category", *by).agg(F.min(F.when(F.col("_ok"), F.col("seq"))).alias("seq")).where("seq is not null")
 
 
 def admit(df: DataFrame, cap: int = CAP, **options) -> DataFrame:
@@ -48,8 +57,10 @@ def stats(df: DataFrame, cap: int = CAP, stop_when_full: bool = False, **options
 
     stop_when_full: nothing is offered to a full reservoir; else what is offered then counts as seen only.
     """
-    v = verdicts(df, **options)
-    held = first_k(first_seen(v), cap, ["category"], [F.col("seq")])
+    # lines are told apart by 128 bits here, so no text is moved
+    two = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")]
+    v = verdicts(df, **options).select("category", "seq", "gate", *two)
+    held = first_k(first_seen(v, ("h1", "h2")), cap, ["category"], [F.col("seq")])
     last = held.groupBy("category").agg(F.count("*").alias("accepted"), F.max("seq").alias("last"))
     last = last.withColumn("last", F.when(F.col("accepted") >= cap, F.col("last")))
     counts = v.join(last, "category", "left").withColumn("in_time", F.coalesce(F.col("seq") <= F.col("last"), F.lit(True)))

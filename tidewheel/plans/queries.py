@@ -1,7 +1,7 @@
 """The operators on the driver's tables, each as a query, with SQL that gives the same rows.
 
 Payloads are documents, pages and conversations; a document's label is TOXIC or BENIGN by the labels table,
-which lacks many; categories are sources; flows are events with an even id, packets those with an odd one.
+which lacks many; categories are sources; every event is a flow, and a packet under the key of the next user.
 """
 
 from __future__ import annotations
@@ -191,10 +191,7 @@ def phase_partition(spark, d):
 
 @query("SELECT n, m, CAST(least(7, greatest(1, floor(m / n * ln(2) + 0.5))) AS INTEGER) AS k FROM (SELECT n, CAST(greatest(64, ceil(-n * ln(0.1) / (ln(2) * ln(2)))) AS INTEGER) AS m FROM (SELECT unnest(range(1, 500)) AS n))")
 def bloom_sizing(spark, d):
-    n = F.col("n")
-    m = F.greatest(F.lit(bloom.MIN_BITS), F.ceil(-n * F.log(F.lit(bloom.FP_RATE)) / F.pow(F.log(F.lit(2.0)), 2))).cast("int")
-    k = F.least(F.lit(bloom.MAX_HASHES), F.greatest(F.lit(1), F.floor(F.col("m") / n * F.log(F.lit(2.0)) + 0.5))).cast("int")
-    return spark.range(1, 500).withColumnRenamed("id", "n").withColumn("m", m).withColumn("k", k)
+    return spark.createDataFrame([(n, *bloom.sizes(n)) for n in range(1, 500)], "n long, m int, k int")
 
 
 def _rules_values() -> str:
@@ -208,9 +205,13 @@ def bloom_bits(spark, d):
     return group_table(spark, TABLE_GROUPS).select(F.col("group").alias("name"), F.explode("bits").alias("bit"))
 
 
-@query(f"SELECT name, m, k, bits_set FROM (VALUES {', '.join(str((g.name, *g.bloom.stats())) for g in TABLE_GROUPS)}) v(name, m, k, bits_set)")
+#: Bits set by each shipped group, as known.
+_KNOWN_BITS = {"FTP-5byte": 19, "FTP-6byte": 20, "BruteForce-14byte": 7, "BruteForce-18byte": 7, "XSS-12byte": 13, "XSS-15byte": 7}
+
+
+@query(f"SELECT name, 64 AS m, 7 AS k, bits_set FROM (VALUES {', '.join(map(str, _KNOWN_BITS.items()))}) v(name, bits_set)")
 def bloom_stats(spark, d):
-    return group_table(spark, TABLE_GROUPS).select(F.col("group").alias("name"), "m", "k", "bits_set")
+    return group_table(spark, GROUPS).select(F.col("group").alias("name"), "m", "k", "bits_set")
 
 
 @query(f"SELECT packet_id, CAST({_probe(GROUPS[0])} AS BIGINT) AS candidates FROM (SELECT packet_id, {_BYTES} AS bs FROM (SELECT item_id AS packet_id, {_norm('text')} AS n FROM benchmark))")
@@ -359,13 +360,8 @@ def _slug(c: str) -> str:
     return f"coalesce(nullif(trim(regexp_replace(regexp_replace({c}, '[^\\x00-\\x7F]', '', 'g'), '[^A-Za-z0-9]+', '-', 'g'), '-'), ''), 'unknown')"
 
 
-@query(f"SELECT doc_id, {_slug('substr(text, 1, 60)')} AS slug FROM documents")
-def slugify(spark, d):
-    return read(spark, d, "documents").select("doc_id", t.slugify(F.substring("text", 1, 60)).alias("slug"))
-
-
 @query(f"SELECT doc_id, md5({_slug('text')}) AS digest FROM documents")
-def slugify_whole(spark, d):
+def slugify(spark, d):
     return read(spark, d, "documents").select("doc_id", F.md5(t.slugify(F.col("text")).cast("binary")).alias("digest"))
 
 
@@ -397,23 +393,25 @@ def label_inequality(spark, d):
     return doc_labels(spark, d).where(F.col("label") != "TOXIC").select(F.col("packet_id").alias("doc_id"))
 
 
-@query("SELECT item_id, list_aggregate(list_transform(range(0, 16), lambda i: CAST(((CAST(concat('0x', substr(hex(encode(text)), CAST(2 * (i // 8) + 1 AS INTEGER), 2)) AS INTEGER) >> (i % 8)) & 1) AS VARCHAR)), 'string_agg', '') AS bits FROM benchmark WHERE strlen(text) >= 2")
+@query("""SELECT item_id, md5(list_aggregate(list_transform(range(0, 8 * strlen(text)), lambda i: CAST(((CAST(concat('0x', substr(h, CAST(2 * (i // 8) + 1 AS INTEGER), 2)) AS INTEGER) >> CAST(i % 8 AS INTEGER)) & 1) AS VARCHAR)), 'string_agg', '')) AS digest
+  FROM (SELECT item_id, text, hex(encode(text)) AS h FROM benchmark) WHERE strlen(text) > 0""")
 def byte_bits(spark, d):
-    first = read(spark, d, "benchmark").where(F.octet_length("text") >= 2).select("item_id", t.bit_matrix(F.substring(F.col("text").cast("binary"), 1, 2)).alias("m"))
-    return first.select("item_id", F.array_join(F.transform(F.flatten("m"), lambda b: b.cast("int").cast("string")), "").alias("bits"))
+    m = read(spark, d, "benchmark").where(F.octet_length("text") > 0).select("item_id", t.bit_matrix(F.col("text")).alias("m"))
+    bits = F.array_join(F.transform(F.flatten("m"), lambda b: b.cast("int").cast("string")), "")
+    return m.select("item_id", F.md5(bits.cast("binary")).alias("digest"))
 
 
-@query("SELECT item_id, rpad(hex(encode(substr(text, 1, 3))), 16, '0') AS padded FROM benchmark")
+@query("SELECT doc_id, md5(rpad(hex(encode(text)), CAST(greatest(4096, 2 * strlen(text)) AS INTEGER), '0')) AS digest FROM documents")
 def zero_padded(spark, d):
-    return read(spark, d, "benchmark").select("item_id", F.hex(t.zero_padded(F.substring("text", 1, 3), 8)).alias("padded"))
+    return read(spark, d, "documents").select("doc_id", F.md5(F.hex(t.zero_padded(F.col("text"), 2048)).cast("binary")).alias("digest"))
 
 
-@query("SELECT a.item_id AS item_id, count(*) AS n FROM benchmark a JOIN benchmark b ON substr(a.text, 1, 1) = substr(b.text, 1, 1) GROUP BY 1")
+#: Bytes of a text that its ASCII lower case changes are those from A to Z.
+@query("SELECT item_id, CAST(strlen(regexp_replace(text, '[A-Z]', '', 'g')) AS BIGINT) AS n_equal, CAST(strlen(text) AS BIGINT) AS n FROM benchmark")
 def byte_equality_circuit(spark, d):
-    bits = read(spark, d, "benchmark").select("item_id", F.flatten(t.bit_matrix(F.substring("text", 1, 1))).alias("bits"), F.substring("text", 1, 1).alias("c"))
-    other = bits.select(F.col("bits").alias("other"), F.col("c"))
-    same = bits.join(other, "c").where(t.byte_equal(F.col("bits"), F.col("other")))
-    return same.groupBy("item_id").agg(F.count("*").alias("n"))
+    bits = read(spark, d, "benchmark").select("item_id", t.bit_matrix(F.col("text")).alias("a"), t.bit_matrix(t.ascii_lower(F.col("text"))).alias("b"))
+    same = F.filter(F.zip_with("a", "b", t.byte_equal), lambda x: x)
+    return bits.select("item_id", F.size(same).cast("long").alias("n_equal"), F.size("a").cast("long").alias("n"))
 
 
 @query("SELECT source, bool_or(n_chars > 20000) AS any_long FROM documents GROUP BY source")
@@ -434,17 +432,17 @@ def table_cells(spark, d):
 # Flows
 
 _KEY = ("user_id", "event_type")
-_FLOWS = "(SELECT user_id, event_type, CASE WHEN value > 50 THEN 'HIGH' WHEN value > 20 THEN 'MID' ELSE 'BENIGN' END AS label, event_id FROM events WHERE event_id % 2 = 0)"
+_FLOWS = "(SELECT user_id, event_type, CASE WHEN value > 50 THEN 'HIGH' WHEN value > 20 THEN 'MID' ELSE 'BENIGN' END AS label, event_id FROM events)"
 _INDEX = f"(SELECT user_id, event_type, arg_max(label, event_id) AS label FROM {_FLOWS} GROUP BY 1, 2)"
 
 
 def flow_rows(spark, d):
     label = F.when(F.col("value") > 50, "HIGH").when(F.col("value") > 20, "MID").otherwise("BENIGN")
-    return read(spark, d, "events").where(F.col("event_id") % 2 == 0).select(*_KEY, label.alias("label"), F.col("event_id").alias("row_seq"))
+    return read(spark, d, "events").select(*_KEY, label.alias("label"), F.col("event_id").alias("row_seq"))
 
 
 def flow_packets(spark, d):
-    return read(spark, d, "events").where(F.col("event_id") % 2 == 1).select("event_id", *_KEY)
+    return read(spark, d, "events").select("event_id", (F.col("user_id") + 1).alias("user_id"), "event_type")
 
 
 @query(f"SELECT * FROM {_INDEX}")
@@ -457,12 +455,12 @@ def flow_collisions(spark, d):
     return flows.collisions(flow_rows(spark, d), _KEY)
 
 
-@query(f"SELECT e.event_id, e.user_id, e.event_type, i.label FROM events e LEFT JOIN {_INDEX} i ON i.user_id = e.user_id AND i.event_type = e.event_type WHERE e.event_id % 2 = 1")
+@query(f"SELECT e.event_id, e.user_id + 1 AS user_id, e.event_type, i.label FROM events e LEFT JOIN {_INDEX} i ON i.user_id = e.user_id + 1 AND i.event_type = e.event_type")
 def flow_lookup_forward(spark, d):
     return flows.lookup(flow_packets(spark, d), flows.index(flow_rows(spark, d), _KEY), _KEY)
 
 
-@query(f"SELECT count(*) AS lookups, count(i.label) AS hits, count(*) - count(i.label) AS unmatched, round(count(i.label) / count(*), 6) AS hit_rate FROM events e LEFT JOIN {_INDEX} i ON i.user_id = e.user_id AND i.event_type = e.event_type WHERE e.event_id % 2 = 1")
+@query(f"SELECT count(*) AS lookups, count(i.label) AS hits, count(*) - count(i.label) AS unmatched, round(count(i.label) / count(*), 6) AS hit_rate FROM events e LEFT JOIN {_INDEX} i ON i.user_id = e.user_id + 1 AND i.event_type = e.event_type")
 def flow_stats(spark, d):
     s = flows.match_stats(flows.lookup(flow_packets(spark, d), flows.index(flow_rows(spark, d), _KEY), _KEY))
     return s.withColumn("hit_rate", F.round("hit_rate", 6))
@@ -478,7 +476,7 @@ def distinct_labels(spark, d):
     return flows.distinct_labels(flows.index(flow_rows(spark, d), _KEY), lambda c: c != "BENIGN")
 
 
-@query(f"SELECT label, count(*) AS n FROM {_INDEX} i JOIN events e ON i.user_id = e.user_id AND i.event_type = e.event_type WHERE e.event_id % 2 = 1 AND label <> 'BENIGN' GROUP BY label")
+@query(f"SELECT label, count(*) AS n FROM {_INDEX} i JOIN events e ON i.user_id = e.user_id + 1 AND i.event_type = e.event_type WHERE label <> 'BENIGN' GROUP BY label")
 def label_dispatch(spark, d):
     found = flows.lookup(flow_packets(spark, d), flows.index(flow_rows(spark, d), _KEY), _KEY)
     return found.where(F.col("label") != "BENIGN").groupBy("label").agg(F.count("*").alias("n"))
@@ -626,13 +624,8 @@ def synthetic_payloads(spark, d):
 # Reports
 
 
-@query("SELECT lang, CAST(least(floor((n_chars - 0) / (20000.0 / 40)), 39) AS INTEGER) AS bin, count(*) AS n FROM documents WHERE n_chars <= 20000 GROUP BY 1, 2")
-def duration_histogram(spark, d):
-    return report.histogram(read(spark, d, "documents"), F.col("n_chars"), 0.0, 20000.0, 40, ("lang",))
-
-
 @query("SELECT lang, CAST(least(floor(n_chars / (m * CAST(1.05 AS DOUBLE) / 40)), 39) AS INTEGER) AS bin, count(*) AS n FROM documents, (SELECT CAST(max(n_chars) AS DOUBLE) AS m FROM documents) GROUP BY 1, 2")
-def duration_histogram_whole(spark, d):
+def duration_histogram(spark, d):
     return report.whole_histogram(read(spark, d, "documents"), F.col("n_chars"), 40, ("lang",))
 
 
