@@ -56,21 +56,52 @@ def test_jaccard_join(spark, documents, width, num, den):
     assert {i: (len(s), want[i]) for i, s in enumerate(sets)} == {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()}
 
 
-def test_jaccard_large_group(spark, documents, monkeypatch):
-    """Near copies in more blocks than one, of buckets and of cells."""
+def jaccard_links(texts, width=3, num=90, den=100):
+    sets = [shingles(t, width) for t in texts]
+    return [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j])]
+
+
+def edited(r, base, n, edits):
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(edits):
+            w[r.randrange(len(w))] = f"x{r.randrange(1000)}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("cell, edits", [(8, 1), (8, 2), (4, 3), (2048, 2)])
+def test_jaccard_large_group(spark, documents, monkeypatch, cell, edits):
+    """Near copies in buckets and groups that are cut, some of which link through others only, or not at all."""
     monkeypatch.setattr(op3_jaccard, "BUCKET_BLOCK", 8)
-    monkeypatch.setattr(op3_jaccard, "CELL_BLOCKS", (4, 16, 8))
+    monkeypatch.setattr(op3_jaccard, "CELL_BLOCK", cell)
+    monkeypatch.setattr(op3_jaccard, "SHARED", 2)
+    monkeypatch.setattr(op3_jaccard, "HELD", 40)
     r = random.Random(3)
     base = [f"b{i}" for i in range(80)]
-    texts = []
-    for _ in range(70):
-        w = list(base)
-        w[r.randrange(80)] = f"x{r.randrange(1000)}"
-        texts.append(" ".join(w))
+    texts = edited(r, base, 70, edits) + edited(r, base[:40] + [f"c{i}" for i in range(40)], 30, edits)
     got = op3_jaccard.clusters(documents(texts)).collect()
-    sets = [shingles(t) for t in texts]
-    links = [(i, j) for i in range(70) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j])]
-    assert {x["doc_id"]: x["component_id"] for x in got} == closure(range(70), links)
+    assert {x["doc_id"]: x["component_id"] for x in got} == closure(range(100), jaccard_links(texts))
+
+
+def test_jaccard_rows_of_buckets_grow_with_the_group(spark, documents):
+    """Twice the near copies, about twice the rows of buckets."""
+    base, rows = " ".join(f"b{i}" for i in range(60)), {}
+    for n in (1500, 3000, 6000):
+        docs = op3_jaccard.identified(documents([f"{base} x{i}" for i in range(n)]))
+        rows[n] = op3_jaccard._buckets(op3_jaccard._meetings(docs, 3, op3_jaccard.Threshold(90, 100), 4), 4).count()
+    assert rows[6000] < 2.2 * rows[3000] < 2.2 * 2.2 * rows[1500]
+
+
+def test_jaccard_ids_that_are_null_or_shared(spark, documents):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    texts = [a, a + " z", b, b, c, None, "", c + " z", a, "z"]
+    ids = [None, 4, 4, 9, None, None, 4, 4, None, None]
+    got = [tuple(r) for r in op3_jaccard.clusters(documents(texts, ids)).collect()]
+    want = [(None, 38, 4), (4, 39, 4), (4, 38, 4), (9, 38, 4), (None, 38, 4), (None, 0, None), (4, 0, 4), (4, 39, 4), (None, 38, 4), (None, 1, None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert op3_jaccard.clusters(documents([])).count() == 0
 
 
 def test_threshold_parts_are_enough():
@@ -135,6 +166,23 @@ def test_substrings_ties_and_nulls(spark, documents):
         op4_substrings.remove_repeats(documents([a]), window=12)
 
 
+def test_substrings_of_shared_ids_and_odd_columns(spark, documents):
+    """Rows of one id or none are documents of their own; columns with dots and names of the operator's own stay."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(8)
+    passages = [" ".join(f"p{k}_{i}" for i in range(25)) for k in range(6)]
+    texts = [" ".join([f"u{k}{i}" for i in range(r.randint(0, 30))] + [r.choice(passages)]) for k in range(60)]
+    ids = [r.choice([None, None, 4, k]) for k in range(60)]
+    docs = documents(texts, ids).withColumn("meta.url", F.lit("u")).withColumn("key", F.col("doc_id")).withColumn("bucket", F.lit("b"))
+    rows = op4_substrings.remove_repeats(docs)
+    assert rows.columns == [*docs.columns, "n_words", "n_removed"]
+    order = sorted((x["key"], x["sub"], x["text"]) for x in op3_jaccard.identified(docs).collect())
+    kept = repeats([((key, sub), split(t)) for key, sub, t in order])
+    want = sorted(b" ".join(kept[key, sub]).decode() for key, sub, _ in order)
+    assert sorted(x["text"] for x in rows.collect()) == want
+
+
 def test_digests_and_edits(spark, documents):
     texts = corpus(9, 80)
     ids = random.Random(1).sample(range(-1000, 1000), 80)
@@ -152,7 +200,28 @@ def test_digests_and_edits(spark, documents):
         assert prints.setdefault(text, r["fingerprint"]) == r["fingerprint"]
 
 
-@pytest.mark.parametrize("texts, ids", [([], []), (["abc"], [3]), ([None, "a", "bb"], [None, -(1 << 62), (1 << 62)]), (["x", "y", "z"], [1, 1, 1])])
+def test_digests_of_ids_that_are_null_or_shared(spark, documents):
+    """Every document's edited text takes from the next one, whatever order rows of one id have."""
+    texts = [f"{k} text {k * 7} of some length" for k in range(60)] + [None, "", "x", "x"]
+    ids = [None if k % 3 else k % 5 for k in range(60)] + [None, None, 3, 3]
+    rows = op5_digest.fingerprints(documents(texts, ids)).collect()
+    assert sorted(r["n_chars"] for r in rows) == sorted(len(t or "") for t in texts)
+    order = sorted(op5_digest.identified(documents(texts, ids)).collect(), key=lambda r: (r["key"], r["sub"], r["sub2"]))
+    want = []
+    for k, r in enumerate(order):
+        t, after = r["text"], order[(k + 1) % len(order)]["text"]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        want.append((None if r["key"] == op5_digest.LEAST else r["key"], len(t), hashlib.sha256(edited.encode()).hexdigest()))
+    assert sorted(want, key=str) == sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in rows), key=str)
+
+
+@pytest.mark.parametrize("ids", [[*range(4999), 10**18], [None] * 5000, [5] * 5000])
+def test_digest_ranges_are_even(spark, documents, ids):
+    rows = op5_digest.with_next(documents([f"text {i}" for i in range(5000)], ids)).groupBy("range").count().collect()
+    assert len(rows) == 4 and max(r["count"] for r in rows) < 2 * 5000 / 4
+
+
+@pytest.mark.parametrize("texts, ids", [([], []), (["abc"], [3]), ([None, "a", "bb"], [None, -(1 << 62), (1 << 62)]), (["x", "y", "z"], [1, 1, 1]), (["x"] * 9, [None] * 9)])
 def test_digests_of_few(spark, documents, texts, ids):
     rows = op5_digest.fingerprints(documents(texts, ids)).collect()
     assert sorted(r["n_chars"] for r in rows) == sorted(len(t or "") for t in texts)

@@ -55,6 +55,28 @@ def test_damaged_records_are_noticed():
             op2_records.unframe(data[:i])
 
 
+def test_records_of_shared_ids(spark, documents):
+    """Rows of one id or none keep one record each, and the same starts in every run."""
+    texts, ids = [f"text {k}" for k in range(30)] + [None, "twice", "twice"], [None, 5, 7] * 10 + [5, None, None]
+    runs = []
+    for parts in ("2", "5"):
+        path = new_path(spark, "records")
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            op2_records.write_records(documents(texts, ids), path)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        runs.append(sorted(map(str, op2_records.starts(spark, path).collect())))
+    assert runs[0] == runs[1] and len(runs[0]) == 33
+
+
+def test_shards_are_in_the_order_of_their_numbers(spark):
+    names = [f"part-{k:05d}-x-c000.txt" for k in (100000, 99999, 10001, 2)]
+    rows = spark.createDataFrame([(n,) for n in names], "shard string").select(op2_records.shard_number("shard")).collect()
+    assert [r[0] for r in rows] == [100000, 99999, 10001, 2]
+
+
 def test_no_records(spark, documents):
     path = new_path(spark, "records")
     op2_records.write_records(documents([]), path)

@@ -9,11 +9,13 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows handed to Python code at a time, so that a batch of long texts stays small.
 ROWS = 256
+#: What a null id counts as: it stands before all others.
+LEAST = -(1 << 63)
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
 
@@ -24,7 +26,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and text only, so other columns can't clash; a null text counts as empty."""
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return df.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text"))
+
+
+def text_hashes(text: Column) -> tuple[Column, Column]:
+    """128 bits that tell texts apart, as two numbers."""
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
+def identity(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
+    """key, sub, sub2: the identity of rows for all operators that order or join documents.
+
+    A row is a document of its own, known and ordered by its id, null ids before all others, then by 128 bits of its
+    text.  So rows that share an id, or have none, are told apart and are no hot key; rows that agree in id and text are
+    one document.
+    """
+    subs = text_hashes(F.coalesce(F.col(quoted(text_col)), F.lit("")))
+    return [F.coalesce(F.col(quoted(id_col)).cast("long"), F.lit(LEAST)).alias("key"), subs[0].alias("sub"), subs[1].alias("sub2")]
+
+
+def identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """key, sub, sub2 and text, a null text being empty."""
+    return df.select(*identity(id_col, text_col), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text"))
+
+
+def quoted(name: str) -> str:
+    """A column's name as a reference, whatever dots or quotes it has."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -10,11 +10,13 @@ ids.  A crc is masked as in common record formats (rotated by 15 bits, plus a co
 checksums of data that hold checksums stay useful.  The newline is the separator that Spark's text
 writer puts after a row, through which shards reach any file system with Spark's own commit protocol.
 
-Shards are in ascending order of doc_id, within and between files.  The index is a table with a row
+Shards are in ascending order of doc_id, within and between files, and of their numbers, which are more than
+their names once there are 100,000.  Rows of one id are in the order of hashes of their text, so a shared id may
+go on in the next shard.  The index is a table with a row
 for each record: shard, position, doc_id, offset and length of the record, and the number of ids.
 
 Defined results: a null text is an empty one and gives the end id only; null ids of documents come
-first; documents of equal id keep one record each; an empty table gives no shards and an empty index.
+first (the least long counts as null); documents of equal id keep one record each, equal rows too; an empty table gives no shards and an empty index.
 Extra columns are ignored.
 """
 
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import batch, documents, new_path, partitions_for, releasing_shuffles, slices, table
+from tidewheel.llm.common import LEAST, batch, identified, new_path, partitions_for, releasing_shuffles, slices, table
 from tidewheel.llm.pieces import keep_only, library, vocabulary
 
 MASK = 0xA282EAD8
@@ -86,10 +88,9 @@ def write_records(df: DataFrame, path: str, tokenizer: str | None = None, end_id
         keep_only(lib.table)
         last, schema = lib.packed([end_id]), pa.schema([("value", pa.binary())])
         for b in slices(batches):
-            yield batch(schema, [frame(d, lib.encode(t) + last, width) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)])
+            yield batch(schema, [frame(None if d == LEAST else d, lib.encode(t) + last, width) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)])
 
-    docs = documents(df)
-    ordered = docs.repartitionByRange(partitions_for(df), F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"))
+    ordered = identified(df).repartitionByRange(partitions_for(df), "key", "sub").sortWithinPartitions("key", "sub", "sub2").select("key", "text")
     with releasing_shuffles(spark):
         ordered.mapInArrow(encode, "value binary").select(F.col("value").cast("string")).write.text(f"{path}/data")
         scan(spark, path).write.parquet(f"{path}/index")
@@ -123,6 +124,11 @@ def read_shuffled(spark: SparkSession, path: str, seed: int = 0) -> DataFrame:
     return spark.read.schema(_INDEX).parquet(f"{path}/index").orderBy(F.xxhash64("shard", "position", F.lit(seed)), "shard", "position")
 
 
+def shard_number(shard):
+    """The number in a shard's name: names of more than five digits don't sort as their numbers do."""
+    return F.regexp_extract(shard, r"^part-(\d+)", 1).cast("long")
+
+
 def starts(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the index that reading the files back has made: doc_id, start, n_tokens, ids_crc32.
 
@@ -131,7 +137,7 @@ def starts(spark: SparkSession, path: str) -> DataFrame:
     """
     index = spark.read.schema(_INDEX).parquet(f"{path}/index")
     per_shard = index.groupBy("shard").agg(F.sum("n_tokens").alias("held"))
-    before = per_shard.select("shard", (F.sum("held").over(Window.orderBy("shard")) - F.col("held")).alias("before"))
+    before = per_shard.select("shard", (F.sum("held").over(Window.orderBy(shard_number("shard"))) - F.col("held")).alias("before"))
     within = F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("position")) - F.col("n_tokens")
     rows = index.withColumn("within", within).join(before, "shard")
     return rows.select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")

@@ -10,18 +10,27 @@ Sets that link differ in at most D elements, where D follows from the larger siz
 more than D parts, and two that link agree on a whole part.  So every set goes, for its own size class and
 for the next, to the buckets of its parts' contents.  Then
 
-1. parts meet by the hash of their content; a bucket with different sets has a tree on their count
-   vectors, and what survives the bound in it is joined to cells, as a spanning forest;
-2. each set of a cell goes there once; a second tree gives the pairs to verify, but for those
-   already connected; verified links give the components.
-
-Sets are known by 64-bit hashes of their sorted shingle hashes; equal sets are one point, so copies,
-however many, meet once.  Large buckets and cells are cut into blocks, and blocks meet in pairs.  A part
-without elements says little, so sets use it only if they have more empty parts than were added for that.
+1. parts meet by the hash of their content; a bucket with up to BUCKET_BLOCK different sets has a tree on
+   their count vectors, and what survives the bound in it is joined to groups, as a spanning forest.  The sets
+   of a larger bucket are a group about one of them, the pivot, so a group of near copies gives rows in
+   proportion to its size;
+2. each set of a group goes there once.  Groups of more than CELL_BLOCK sets are cut into cells that share
+   the pivot and some SHARED other sets.  In a cell the pivot is compared with all, then a tree gives the pairs to
+   verify, but for those already connected; verified links give components;
+3. large buckets and cut groups whose sets aren't all of one component by then are compared exactly: blocks
+   of different components meet in pairs, and only sets of different components are verified.
+
+Step 3 costs in proportion to a group's size times the number of sets outside its largest component, in
+blocks; that is the one place where work can grow faster than the input.
+
+Sets are known by 128-bit hashes of their shingles, shingles by 64-bit hashes; equal sets are one point, so
+copies, however many, meet once.  A part without elements says little, so sets use it only if they have more
+empty parts than were added for that.  A hot part's entries are streamed: no task holds them all.
 
 Defined results: null texts and texts without words have no shingles and link with nothing; texts with
-fewer words than a shingle have one, the whole sequence; null ids come before all others; rows that share an
-id are taken as one document and linked; an empty table gives no rows; extra columns are ignored.
+fewer words than a shingle have one, the whole sequence; every row is a document of its own, whatever ids
+rows share; component_id is the least id that isn't null among the rows of a component, null if there is none; an
+empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,17 +45,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.llm.blobs import dealt, joined, ordered, signed
-from tidewheel.llm.common import batch, documents, partitions_for, slices, table, written
-from tidewheel.llm.components import Sets, components
+from tidewheel.llm.common import LEAST, batch, identified, partitions_for, remove, slices, table, written
+from tidewheel.llm.components import components
 from tidewheel.llm.pieces import trim
 from tidewheel.llm.words import BASES, Slice, mixed, runs
 
 GROUPS, LEAF, SLICE = 256, 16, 500
-#: Sets in a block of a bucket; of a cell, the least and the most, and how many blocks before they grow.
-BUCKET_BLOCK, CELL_BLOCKS = 512, (64, 16384, 64)
-LEAST = -(1 << 63)
+#: Most sets of a bucket that is compared whole, and of a cell; sets that all cells of a group share, besides the pivot.
+BUCKET_BLOCK, CELL_BLOCK, SHARED = 512, 2048, 32
+#: Entries of parts that a task holds before it sends those of large buckets on.
+HELD = 2_000_000
 _U = np.uint64
-_PART, _DOC = 0, 1
+_PART, _DOC, _LARGE = 0, 1, 2
+_IDENTITY = ["key", "sub", "sub2"]
 _BLOB = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 
 
@@ -90,24 +101,28 @@ class Shingles:
     def __init__(self, texts: list[str], width: int):
         s = Slice(texts, lower=True)
         at = np.flatnonzero(s.whole(width))
-        value, document = mixed(runs(s.hashes, width, BASES[0])[at]), s.document[at]
+        first, second, document = (*(mixed(runs(s.hashes, width, base)[at]) for base in BASES), s.document[at])
         short = np.flatnonzero((s.counts > 0) & (s.counts < width))
         if len(short):
-            one = [mixed(runs(s.hashes[s.begins[i] : s.begins[i + 1]], int(s.counts[i]), BASES[1]) + _U(s.counts[i]))[0] for i in short]
-            value, document = np.concatenate([value, np.array(one, np.uint64)]), np.concatenate([document, short])
-        order = np.lexsort([value, document])
-        value, document = value[order], document[order]
-        new = np.ones(len(value), bool)
-        new[1:] = (value[1:] != value[:-1]) | (document[1:] != document[:-1])
-        self.value, self.document = value[new], document[new]
+            whole = [[mixed(runs(s.hashes[s.begins[i] : s.begins[i + 1]], int(s.counts[i]), base) + _U(s.counts[i]))[0] for base in BASES[::-1]] for i in short]
+            first, second = (np.concatenate([x, np.array(w, np.uint64)]) for x, w in zip((first, second), zip(*whole, strict=True), strict=True))
+            document = np.concatenate([document, short])
+        order = np.lexsort([first, document])
+        first, second, document = first[order], second[order], document[order]
+        new = np.ones(len(first), bool)
+        new[1:] = (first[1:] != first[:-1]) | (document[1:] != document[:-1])
+        self.value, self.second, self.document = first[new], second[new], document[new]
         self.sizes = np.bincount(self.document, minlength=len(texts)).astype(np.int64)
         self.begins = np.concatenate([[0], np.cumsum(self.sizes)])
 
-    def sets(self) -> np.ndarray:
-        """A hash of each set, order playing no part; 0 for empty ones."""
-        out = np.zeros(len(self.sizes), np.uint64)
-        np.add.at(out, self.document, mixed(self.value ^ _U(BASES[1])))
-        return np.where(self.sizes > 0, mixed(out + mixed(self.sizes.astype(np.uint64))), _U(0))
+    def sets(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of each set, order playing no part; 0 for empty ones."""
+        out = []
+        for value, base in ((self.value, BASES[1]), (self.second, BASES[0])):
+            total = np.zeros(len(self.sizes), np.uint64)
+            np.add.at(total, self.document, mixed(value ^ _U(base)))
+            out.append(np.where(self.sizes > 0, mixed(total + mixed(self.sizes.astype(np.uint64))), _U(0)))
+        return out[0], out[1]
 
     def vectors(self) -> np.ndarray:
         return np.bincount(self.document * GROUPS + (self.value % _U(GROUPS)).astype(np.int64), minlength=len(self.sizes) * GROUPS).reshape(-1, GROUPS)
@@ -137,130 +152,221 @@ class Shingles:
 
 
 class CountTree:
-    """An R-tree on count vectors, packed by halving along the widest coordinate."""
+    """An R-tree on count vectors, packed by halving along the widest coordinate.  A node's rows are a range of order."""
 
     def __init__(self, vectors: np.ndarray, sizes: np.ndarray):
         self.vectors, self.sizes = vectors.astype(np.int32), sizes.astype(np.int64)
-        self.nodes: list[tuple[np.ndarray, int, np.ndarray | None, int, int]] = []  # upper corner, least size, rows, children
+        self.order = np.arange(len(sizes))
+        self.nodes: list[tuple[np.ndarray, int, int, int, int, int]] = []  # upper corner, least size, range, children
         if len(sizes):
-            self._grow(np.arange(len(sizes)))
+            self._grow(0, len(sizes))
 
-    def _grow(self, rows: np.ndarray) -> int:
-        me, v = len(self.nodes), self.vectors[rows]
+    def _grow(self, begin: int, end: int) -> int:
+        me, rows = len(self.nodes), self.order[begin:end]
+        v = self.vectors[rows]
         self.nodes.append(None)
         high, least = v.max(axis=0), int(self.sizes[rows].min())
-        if len(rows) <= LEAF:
-            self.nodes[me] = high, least, rows, 0, 0
+        if end - begin <= LEAF:
+            self.nodes[me] = high, least, begin, end, 0, 0
         else:
             key = self.sizes[rows] if np.ptp(self.sizes[rows]) > np.ptp(v, axis=0).max() else v[:, np.ptp(v, axis=0).argmax()]
-            order = rows[np.argsort(key, kind="stable")]
-            left = self._grow(order[: len(rows) // 2])
-            self.nodes[me] = high, least, None, left, self._grow(order[len(rows) // 2 :])
+            self.order[begin:end] = rows[np.argsort(key, kind="stable")]
+            middle = (begin + end) // 2
+            left = self._grow(begin, middle)
+            self.nodes[me] = high, least, begin, end, left, self._grow(middle, end)
         return me
 
-    def pairs(self, threshold: Threshold) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Rows i, j whose bound on the overlap reaches the threshold, each pair once, in arrays."""
+    def pairs(self, threshold: Threshold, labels: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows i, j whose bound on the overlap reaches the threshold, each pair once, in arrays.
+
+        labels, which the caller may change between arrays, leave out pairs of one label.
+        """
+        labels = np.arange(len(self.sizes)) if labels is None else labels
         stack = [(0, 0)] if self.nodes else []
         while stack:
             x, y = stack.pop()
-            (high_x, least_x, rows_x, *below_x), (high_y, least_y, rows_y, *below_y) = self.nodes[x], self.nodes[y]
+            (high_x, least_x, begin_x, end_x, *below_x), (high_y, least_y, begin_y, end_y, *below_y) = self.nodes[x], self.nodes[y]
+            rows_x, rows_y = self.order[begin_x:end_x], self.order[begin_y:end_y]
+            if (labels[rows_x] == labels[rows_x[0]]).all() and (labels[rows_y] == labels[rows_x[0]]).all():
+                continue
             if x != y and not threshold.holds(int(np.minimum(high_x, high_y).sum()), least_x + least_y):
                 continue
-            if rows_x is not None and rows_y is not None:
+            if not any(below_x) and not any(below_y):
                 bound = np.minimum(self.vectors[rows_x][:, None], self.vectors[rows_y][None]).sum(axis=2)
-                ok = threshold.holds(bound, self.sizes[rows_x][:, None] + self.sizes[rows_y][None])
+                ok = threshold.holds(bound, self.sizes[rows_x][:, None] + self.sizes[rows_y][None]) & (labels[rows_x][:, None] != labels[rows_y][None])
                 i, j = np.nonzero(np.triu(ok, 1) if x == y else ok)
                 if len(i):
                     yield rows_x[i], rows_y[j]
             elif x == y:
                 a, b = below_x
                 stack += [(a, a), (a, b), (b, b)]
-            elif rows_x is None:
+            elif any(below_x):
                 stack += [(c, y) for c in below_x]
             else:
                 stack += [(x, c) for c in below_y]
 
 
+class Overlaps:
+    """Sizes of the intersections of one set with others, by marking its elements."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        self.begins = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.element = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        self.mark = np.zeros(int(self.element.max(initial=-1)) + 1, bool)
+
+    def __call__(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Sets without elements don't come here."""
+        mine = self.element[self.begins[i] : self.begins[i + 1]]
+        self.mark[mine] = True
+        starts = np.concatenate([[0], np.cumsum(self.sizes[others])])
+        at = np.arange(starts[-1]) + np.repeat(self.begins[others] - starts[:-1], self.sizes[others])
+        out = np.add.reduceat(self.mark[self.element[at]], starts[:-1], dtype=np.int64)
+        self.mark[mine] = False
+        return out
+
+
+def connected(vectors: np.ndarray, sizes: np.ndarray, threshold: Threshold, overlaps: Overlaps | None = None, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A forest of the links between sets of different labels: those of the bound, or those verified if overlaps are given.
+
+    The first set is compared with all others, so that a group of near copies is connected at once; then the
+    tree's pairs, but for those that are connected by then.
+    """
+    labels, edges = np.arange(len(sizes)) if labels is None else labels.copy(), []
+
+    def link(i: int, others: np.ndarray, bound: bool) -> None:
+        others = others[labels[others] != labels[i]]
+        if not len(others):
+            return
+        if overlaps is not None:
+            hits = others[threshold.holds(overlaps(i, others), sizes[i] + sizes[others])]
+        else:
+            hits = others if bound else others[threshold.holds(np.minimum(vectors[i], vectors[others]).sum(axis=1), sizes[i] + sizes[others])]
+        for j in hits.tolist():
+            if labels[i] != labels[j]:
+                labels[labels == labels[j]] = labels[i]
+                edges.append((i, j))
+
+    link(0, np.arange(1, len(sizes)), False)
+    if (labels == labels[0]).all():
+        return edges
+    for i, j in CountTree(vectors, sizes).pairs(threshold, labels):
+        begins = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+        for row, others in zip(i[begins].tolist(), np.split(j, begins[1:]), strict=True):
+            link(row, others, True)
+    return edges
+
+
+def _binary(high: np.ndarray, low: np.ndarray) -> pa.Array:
+    """Two columns of numbers as one of 16 bytes, in the same order."""
+    data = np.stack([high, low], axis=1).astype(">u8").tobytes()
+    return pa.Array.from_buffers(pa.binary(), len(high), [None, pa.py_buffer(np.arange(0, 16 * len(high) + 1, 16, dtype=np.int32).tobytes()), pa.py_buffer(data)])
+
+
 def _meetings(docs: DataFrame, width: int, threshold: Threshold, n: int) -> DataFrame:
-    """Rows of parts: hash and set; and of documents: id, size, set."""
+    """Rows of parts: hash and set; and of documents: identity, size, set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = 0
         for b in slices(batches, SLICE):
-            s = Shingles(b.column(1).to_pylist(), width)
-            keys, sets = ordered(b.column(0).to_numpy()), s.sets()
+            s = Shingles(b.column(3).to_pylist(), width)
+            identity, sets = [ordered(b.column(i).to_numpy()) for i in range(3)], s.sets()
             # equal sets go on once
-            of = np.unique(np.where(s.sizes > 0, sets, _U(0)), return_index=True)[1]
+            of = np.unique(np.stack(sets, axis=1), axis=0, return_index=True)[1]
             of = np.sort(of[s.sizes[of] > 0])
-            out = [(turn % n, _DOC, x) for _, x in dealt(np.zeros(len(keys), np.int64), keys, s.sizes.astype(np.uint64), sets)]
+            out = [(turn % n, _DOC, x) for _, x in dealt(np.zeros(b.num_rows, np.int64), *identity, s.sizes.astype(np.uint64), *sets)]
             if len(of):
                 hashes, owner = s.parts(of, threshold)
-                out += [(p, _PART, x) for p, x in dealt((hashes % _U(n)).astype(np.int64), hashes, sets[owner])]
+                out += [(p, _PART, x) for p, x in dealt((hashes % _U(n)).astype(np.int64), hashes, *(x[owner] for x in sets))]
             turn += 1
             yield batch(_BLOB, *(zip(*out, strict=True) if out else [[]] * 3))
         trim()
 
-    return docs.mapInArrow(run, "part int, kind int, blob binary")
+    return docs.select(*_IDENTITY, "text").mapInArrow(run, "part int, kind int, blob binary")
 
 
-def _named(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def _named(high: np.ndarray, low: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """A name for each bucket by its members: parts that bring the same sets together are one bucket."""
     begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    return mixed(np.add.reduceat(mixed(sets ^ _U(BASES[0])), begins) + sizes.astype(np.uint64)) >> _U(1)
-
-
-_MET = "kind int, bucket long, doc_key long, size long, set_id long"
+    return mixed(np.add.reduceat(mixed(high ^ _U(BASES[0])) + mixed(low ^ _U(BASES[1])), begins) + sizes.astype(np.uint64)) >> _U(1)
+
+
+_MET = "kind int, bucket long, key long, sub long, sub2 long, size long, set_id binary, pivot binary"
+_MET_ROWS = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("bucket", *_IDENTITY, "size")), ("set_id", pa.binary()), ("pivot", pa.binary())])
+
+
+def _met(kind: int, high: np.ndarray, low: np.ndarray, bucket=None, identity=None, size=None, pivot=None) -> pa.RecordBatch:
+    k = len(high)
+    zero = np.zeros(k, np.int64)
+    pivots = pa.nulls(k, pa.binary()) if pivot is None else _binary(*pivot)
+    return batch(_MET_ROWS, np.full(k, kind, np.int32), zero if bucket is None else bucket.view(np.int64), *(identity or [zero] * 3), zero if size is None else size, _binary(high, low), pivots)
+
+
+class _Parts:
+    """The entries of one part: hash of a content, and set.  Buckets beyond BUCKET_BLOCK go on as soon as they are known."""
+
+    def __init__(self):
+        self.new, self.waiting, self.limit = [], 0, HELD
+        self.held = [np.zeros(0, np.uint64)] * 3
+        self.pivots = [np.zeros(0, np.uint64)] * 3
+
+    def add(self, blob: bytes) -> Iterator[pa.RecordBatch]:
+        self.new.append(blob)
+        self.waiting += int(np.frombuffer(blob, "<u8", 1)[0])
+        if self.waiting >= self.limit:
+            yield from self._settle()
+
+    def _settle(self) -> Iterator[pa.RecordBatch]:
+        hashes, high, low = (np.concatenate(x) for x in zip(self.held, joined(self.new, 3), strict=True))
+        order = np.lexsort([low, high, hashes])
+        hashes, high, low = hashes[order], high[order], low[order]
+        new = np.ones(len(high), bool)
+        new[1:] = (hashes[1:] != hashes[:-1]) | (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+        hashes, high, low = hashes[new], high[new], low[new]
+        buckets, begins, counts = np.unique(hashes, return_index=True, return_counts=True)
+        fresh = (counts > BUCKET_BLOCK) & ~np.isin(buckets, self.pivots[0])
+        if fresh.any():
+            at = begins[fresh]
+            more = [np.concatenate(x) for x in zip(self.pivots, (hashes[at], high[at], low[at]), strict=True)]
+            by = np.argsort(more[0])
+            self.pivots = [x[by] for x in more]
+        large = np.isin(hashes, self.pivots[0])
+        if large.any():
+            at = np.searchsorted(self.pivots[0], hashes[large])
+            yield _met(_LARGE, high[large], low[large], hashes[large], pivot=(self.pivots[1][at], self.pivots[2][at]))
+        self.held = [hashes[~large], high[~large], low[~large]]
+        self.new, self.waiting, self.limit = [], len(self.held[0]), max(HELD, 2 * len(self.held[0]))
+
+    def finish(self) -> Iterator[pa.RecordBatch]:
+        yield from self._settle()
+        hashes, high, low = self.held
+        counts = np.unique(hashes, return_counts=True)[1]
+        take = np.repeat(counts > 1, counts)
+        high, low, sizes = high[take], low[take], counts[counts > 1]
+        if len(sizes):
+            name = _named(high, low, sizes)
+            first = np.zeros(len(name), bool)
+            first[np.unique(name, return_index=True)[1]] = True
+            keep = np.repeat(first, sizes)
+            yield _met(_PART, high[keep], low[keep], np.repeat(name, sizes)[keep])
 
 
 def _buckets(meetings: DataFrame, n: int) -> DataFrame:
-    """kind _DOC: doc_key, size, set_id; kind _PART: members (set_id) of buckets with different sets, by block pairs."""
-    schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("doc_key", pa.int64()), ("size", pa.int64()), ("set_id", pa.int64())])
-
-    def finish(held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
-        if _DOC in held:
-            keys, sizes, sets = joined(held[_DOC], 3)
-            k = len(keys)
-            yield batch(schema, np.full(k, _DOC, np.int32), np.zeros(k, np.int64), signed(keys), sizes.astype(np.int64), sets.view(np.int64))
-        if _PART in held:
-            hashes, sets = joined(held[_PART], 2)
-            order = np.lexsort([sets, hashes])
-            hashes, sets = hashes[order], sets[order]
-            new = np.ones(len(sets), bool)
-            new[1:] = (hashes[1:] != hashes[:-1]) | (sets[1:] != sets[:-1])
-            hashes, sets = hashes[new], sets[new]
-            _, begins, counts = np.unique(hashes, return_index=True, return_counts=True)
-            bucket, member = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-            if (few := (counts > 1) & (counts <= BUCKET_BLOCK)).any():
-                take = sets[np.repeat(few, counts)]
-                sizes = counts[few]
-                name = _named(take, sizes)
-                first = np.zeros(len(name), bool)
-                first[np.unique(name, return_index=True)[1]] = True
-                bucket.append(np.repeat(name, sizes)[np.repeat(first, sizes)])
-                member.append(take[np.repeat(first, sizes)])
-            for at, m in zip(begins[counts > BUCKET_BLOCK].tolist(), counts[counts > BUCKET_BLOCK].tolist(), strict=True):
-                block = np.arange(m) // BUCKET_BLOCK
-                for i in range(block[-1] + 1):
-                    for j in range(i, block[-1] + 1):
-                        both = sets[at : at + m][(block == i) | (block == j)]
-                        bucket.append(np.repeat(_named(both, np.array([len(both)])), len(both)))
-                        member.append(both)
-            bucket, member = np.concatenate(bucket), np.concatenate(member)
-            k = len(member)
-            zero = np.zeros(k, np.int64)
-            yield batch(schema, np.full(k, _PART, np.int32), bucket.view(np.int64), zero, zero, member.view(np.int64))
+    """kind _DOC: identity, size, set_id; _PART: bucket and members of different sets; _LARGE: the same of large buckets, and their pivots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, {}
+        now, parts = None, _Parts()
         for b in batches:
             for part, kind, blob in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 if part != now:
-                    if held:
-                        yield from finish(held)
-                    now, held = part, {}
-                held.setdefault(kind, []).append(blob)
-        if held:
-            yield from finish(held)
+                    yield from parts.finish()
+                    now, parts = part, _Parts()
+                if kind == _DOC:
+                    *identity, sizes, high, low = joined([blob], 6)
+                    yield _met(_DOC, high, low, identity=[signed(x) for x in identity], size=sizes.astype(np.int64))
+                else:
+                    yield from parts.add(blob)
+        yield from parts.finish()
 
     return meetings.repartitionById(n, "part").sortWithinPartitions("part").mapInArrow(run, _MET)
 
@@ -291,59 +397,57 @@ def _runs_of(keys: np.ndarray) -> list[np.ndarray]:
     return np.split(np.arange(len(keys)), begins[1:])
 
 
-_EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_EDGE = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+
+def _edges(ids: list[bytes], pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return batch(_EDGE, [min(ids[i], ids[j]) for i, j in pairs], [max(ids[i], ids[j]) for i, j in pairs])
 
 
 def _near(members: DataFrame, n: int, threshold: Threshold) -> DataFrame:
     """members: bucket, set_id, size, vector.  Sets within the bound of each other, as a forest in each bucket."""
 
     def finish(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        bucket, ids, sizes = (t[c].to_numpy() for c in ("bucket", "set_id", "size"))
+        bucket, sizes, ids = t["bucket"].to_numpy(), t["size"].to_numpy(), t["set_id"].to_pylist()
         vectors = np.stack([_vector(v) for v in t["vector"].to_pylist()])
-        a, b = [], []
         two = np.flatnonzero(bucket[1:] == bucket[:-1])
         # buckets of two by the vector, larger ones by a tree
         counts = np.repeat(*(lambda c: (c, c))(np.unique(bucket, return_counts=True)[1]))
         two = two[counts[two] == 2]
         ok = threshold.holds(np.minimum(vectors[two], vectors[two + 1]).sum(axis=1).astype(np.int64), sizes[two] + sizes[two + 1])
-        a.append(ids[two[ok]])
-        b.append(ids[two[ok] + 1])
+        found = [(i, i + 1) for i in two[ok].tolist()]
         more = np.flatnonzero(counts > 2)
         for rows in _runs_of(bucket[more]) if len(more) else []:
             rows = more[rows]
-            joined_ = Sets(len(rows))
-            for i, j in CountTree(vectors[rows], sizes[rows]).pairs(threshold):
-                new = [k for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)) if joined_.join(x, y)]
-                a.append(ids[rows[i[new]]])
-                b.append(ids[rows[j[new]]])
-        a, b = np.concatenate(a), np.concatenate(b)
-        yield batch(_EDGE, np.minimum(a, b), np.maximum(a, b))
+            found += [(int(rows[i]), int(rows[j])) for i, j in connected(vectors[rows], sizes[rows], threshold)]
+        yield _edges(ids, found)
 
-    return members.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(*_streamed(0, finish, "a long, b long"))
+    return members.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(*_streamed(0, finish, "a binary, b binary"))
 
 
 def _linked(members: DataFrame, n: int, threshold: Threshold) -> DataFrame:
-    """members: cell (and block pair as one key), set_id, shingles.  Links that are verified, as a forest in each cell."""
+    """members: cell, set_id, label, shingles.  Verified links between sets of different labels, as a forest in each cell.
+
+    Without a label a set is by itself.
+    """
 
     def finish(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        cell, ids = t["cell"].to_numpy(), t["set_id"].to_numpy()
+        cell, ids, known = t["cell"].to_numpy(), t["set_id"].to_pylist(), t["label"].to_pylist()
         sets = [np.frombuffer(x, "<u8") for x in t["shingles"].to_pylist()]
-        a, b = [], []
+        found = []
         for rows in _runs_of(cell):
             sizes = np.array([len(sets[r]) for r in rows])
+            if len(rows) == 2:
+                x, y = rows.tolist()
+                if (known[x] is None or known[x] != known[y]) and threshold.holds(len(np.intersect1d(sets[x], sets[y], assume_unique=True)), int(sizes.sum())):
+                    found.append((x, y))
+                continue
             vectors = np.stack([np.bincount((sets[r] % _U(GROUPS)).astype(np.int64), minlength=GROUPS) for r in rows])
-            joined_ = Sets(len(rows))
-            for i, j in CountTree(vectors, sizes).pairs(threshold):
-                for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                    if joined_.find(x) != joined_.find(y):
-                        overlap = len(np.intersect1d(sets[rows[x]], sets[rows[y]], assume_unique=True))
-                        if threshold.holds(overlap, int(sizes[x] + sizes[y])):
-                            joined_.join(x, y)
-                            a.append(int(ids[rows[x]]))
-                            b.append(int(ids[rows[y]]))
-        yield batch(_EDGE, a, b)
+            labels = np.unique([ids[r] if known[r] is None else known[r] for r in rows], return_inverse=True)[1]
+            found += [(int(rows[i]), int(rows[j])) for i, j in connected(vectors, sizes, threshold, Overlaps([sets[r] for r in rows]), labels)]
+        yield _edges(ids, found)
 
-    return members.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(*_streamed(0, finish, "a long, b long"))
+    return members.repartition(n, "cell").sortWithinPartitions("cell", "set_id").mapInArrow(*_streamed(0, finish, "a binary, b binary"))
 
 
 def _stored(vector: np.ndarray) -> bytes:
@@ -358,56 +462,93 @@ def _vector(stored: bytes) -> np.ndarray:
 
 def _points(docs: DataFrame, width: int, sets: bool) -> DataFrame:
     """set_id, size, and the count vector of each document, or its shingles if sets."""
-    schema = pa.schema([("set_id", pa.int64()), ("size", pa.int64()), ("held", pa.binary())])
+    schema = pa.schema([("set_id", pa.binary()), ("size", pa.int64()), ("held", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, SLICE):
             s = Shingles(b.column(0).to_pylist(), width)
             held = [s.value[i:j].tobytes() for i, j in zip(s.begins, s.begins[1:], strict=False)] if sets else [_stored(v) for v in s.vectors()]
-            yield batch(schema, s.sets().view(np.int64), s.sizes, held)
-
-    return docs.select("text").mapInArrow(run, "set_id long, size long, held binary")
-
-
-def _cell_blocks(cells: DataFrame) -> DataFrame:
-    """node, cell: a key for each pair of blocks that the node takes part in."""
-    low, high, many = CELL_BLOCKS
-    sizes = cells.groupBy("component").agg(F.count("*").alias("m"))
-    block = F.least(F.lit(high), F.greatest(F.lit(low), F.ceil(F.col("m") / many)))
-    blocked = cells.join(sizes, "component").withColumn("k", F.ceil(F.col("m") / block).cast("int"))
-    mine = blocked.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    other = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    return other.select("node", F.xxhash64("component", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"))
-
-
-def clusters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """Per document: doc_id, n_shingles and component_id, the least doc_id reachable by links."""
+            yield batch(schema, _binary(*s.sets()), s.sizes, held)
+
+    return docs.select("text").mapInArrow(run, "set_id binary, size long, held binary")
+
+
+def _cells(groups: DataFrame) -> DataFrame:
+    """groups: pivot, node.  cell, set_id: each group's sets in cells of about CELL_BLOCK, with the pivot and some others in all of them."""
+    nodes = groups.where("pivot <> node").distinct()
+    sized = nodes.join(nodes.groupBy("pivot").agg(F.count("*").alias("m")), "pivot").withColumn("k", F.ceil(F.col("m") / CELL_BLOCK).cast("int"))
+    every = F.sequence(F.lit(0), F.col("k") - 1)
+    shared = (F.col("k") > 1) & (F.pmod(F.xxhash64(F.lit(2), "node"), F.greatest(F.lit(1), F.floor(F.col("m") / SHARED))) == 0)
+    own = sized.withColumn("block", F.explode(F.when(shared, every).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("k")).cast("int")))))
+    pivots = sized.select("pivot", "k").distinct().withColumn("block", F.explode(every))
+    cell = F.xxhash64("pivot", "block").alias("cell")
+    return own.select(cell, F.col("node").alias("set_id")).unionByName(pivots.select(cell, F.col("pivot").alias("set_id")))
+
+
+def _apart(groups: DataFrame, label: DataFrame) -> DataFrame:
+    """groups: g, node; label: node, component.  g, node, component of the groups that are of more than one component."""
+    known = groups.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    more = known.groupBy("g").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("g")
+    return known.join(more, "g", "left_semi").distinct()
+
+
+def _across(apart: DataFrame) -> DataFrame:
+    """cell, set_id, label: every two sets of a group that are of different components meet in a cell of about two blocks."""
+    counts = apart.groupBy("g", "component").agg(F.count("*").alias("n"))
+    few = counts.where(F.col("n") < CELL_BLOCK).groupBy("g").agg(F.sum("n").alias("rest"))
+    sized = apart.join(counts, ["g", "component"]).join(few, "g", "left")
+    big = F.col("n") >= CELL_BLOCK
+    # a large component is cut by the sets' hashes; small ones are kept whole and pooled
+    pool = F.xxhash64(F.lit(0), F.pmod(F.xxhash64("component"), F.ceil(F.col("rest") / CELL_BLOCK)))
+    block = F.when(big, F.xxhash64(F.lit(1), "component", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CELL_BLOCK)))).otherwise(pool)
+    placed = sized.select("g", "node", "component", F.when(big, F.col("component")).alias("own"), block.alias("block"))
+    others = placed.select("g", F.col("own").alias("other_own"), F.col("block").alias("other")).distinct()
+    met = placed.join(others, "g").where("own is null or other_own is null or own <> other_own")
+    return met.select(F.xxhash64("g", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), F.col("node").alias("set_id"), F.col("component").alias("label")).distinct()
+
+
+def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """Per row: its identity (key, sub, sub2; see common.identified), size, and group, a name for its component; without shingles the group is null."""
     threshold, n = Threshold(num, den), partitions_for(df, 16)
-    docs = documents(df, id_col, text_col).select(F.coalesce("doc_id", F.lit(LEAST)).alias("doc_key"), "text")
+    docs = identified(df, id_col, text_col)
     met = written(_buckets(_meetings(docs, width, threshold, n), n), "buckets")
-    found = met.where(F.col("kind") == _DOC).select("doc_key", "size", "set_id")
+    found = met.where(F.col("kind") == _DOC).select(*_IDENTITY, "size", "set_id")
     # the least document of each set stands for it, and has the set's text
-    stands = found.where("size > 0").groupBy("set_id").agg(F.min("doc_key").alias("least"))
+    stands = found.where("size > 0").groupBy("set_id").agg(F.min(F.struct(*_IDENTITY)).alias("least"))
     # sets that are near share many parts: their bucket is needed once
     members = met.where(F.col("kind") == _PART).select("bucket", "set_id").distinct()
-    of = lambda sets: docs.join(sets.join(stands, "set_id").select(F.col("least").alias("doc_key")), "doc_key", "left_semi")
+    large = met.where(F.col("kind") == _LARGE)
+    of = lambda sets: docs.join(sets.join(stands, "set_id").select("least.*"), _IDENTITY, "left_semi")
     points = written(_points(of(members.select("set_id").distinct()), width, False), "points")
     vectors = points.dropDuplicates(["set_id"]).withColumnRenamed("held", "vector")
     near = _near(members.join(vectors, "set_id").select("bucket", "set_id", "size", "vector"), n, threshold)
-    cells = written(components(near), "cells")
+    candidates = components(near).select(F.col("component").alias("pivot"), "node")
+    cells = written(_cells(candidates.unionByName(large.select("pivot", F.col("set_id").alias("node")))), "cells")
     # few sets are left in cells; only theirs are read and moved whole
-    shingles = _points(of(cells.select(F.col("node").alias("set_id"))), width, True).dropDuplicates(["set_id"])
-    shingles = shingles.select(F.col("set_id").alias("node"), "set_id", F.col("held").alias("shingles"))
-    links = _linked(_cell_blocks(cells).join(shingles, "node").select("cell", "set_id", "shingles"), n, threshold)
-    # rows that share an id are one document
-    by_set = found.where("size > 0").join(stands, "set_id")
-    same = by_set.where("doc_key <> least").select(F.col("doc_key").alias("a"), F.col("least").alias("b"))
-    standing = stands.select("set_id", "least")
-    across = links.join(standing.withColumnRenamed("set_id", "a").withColumnRenamed("least", "x"), "a").join(standing.withColumnRenamed("set_id", "b").withColumnRenamed("least", "y"), "b")
-    final = components(across.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(same))
-    out = found.join(final.withColumnRenamed("node", "doc_key"), "doc_key", "left")
-    back = lambda c: F.when(c != LEAST, c)
-    return out.select(back(F.col("doc_key")).alias("doc_id"), F.col("size").alias("n_shingles"), back(F.coalesce("component", "doc_key")).alias("component_id"))
+    shingles = written(_points(of(cells.select("set_id").distinct()), width, True).dropDuplicates(["set_id"]).select("set_id", F.col("held").alias("shingles")), "shingles")
+    verify = lambda c: written(_linked(c.join(shingles, "set_id").select("cell", "set_id", "label", "shingles"), n, threshold), "links")
+    links = verify(cells.withColumn("label", F.lit(None).cast("binary")))
+    label = components(links)
+    # what was not compared whole, and isn't connected by now
+    cut = candidates.join(candidates.groupBy("pivot").agg(F.count("*").alias("m")).where(F.col("m") > CELL_BLOCK), "pivot", "left_semi")
+    whole = large.select(F.xxhash64("bucket").alias("g"), F.col("set_id").alias("node")).unionByName(cut.select(F.xxhash64("pivot").alias("g"), "node"))
+    apart = written(_apart(whole, label), "apart")
+    used = [points, cells, shingles, links, apart]
+    if not apart.isEmpty():
+        more = verify(_across(apart))
+        label = components(links.unionByName(more))
+        used.append(more)
+    remove(df.sparkSession, *used)
+    out = found.join(label.withColumnRenamed("node", "set_id"), "set_id", "left")
+    return out.select(*_IDENTITY, "size", F.when(F.col("size") > 0, F.coalesce("component", "set_id")).alias("group"))
+
+
+def clusters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """Per document: doc_id, n_shingles and component_id, the least doc_id reachable by links."""
+    rows = grouped(df, id_col, text_col, width, num, den).withColumn("doc_id", F.when(F.col("key") != LEAST, F.col("key")))
+    least = rows.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    out = rows.join(least, "group", "left")
+    return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

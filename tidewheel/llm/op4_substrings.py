@@ -32,13 +32,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewheel.llm.blobs import dealt, joined, ordered, pack, signed
-from tidewheel.llm.common import batch, buckets_for, partitions_for, slices, table, written
+from tidewheel.llm.common import LEAST, batch, buckets_for, partitions_for, quoted, slices, table, written
 from tidewheel.llm.pieces import trim
 from tidewheel.llm.words import BASES, Slice, mixed, runs
 
 WINDOW = 20
 PERIOD, COVER = 13, (0, 1, 3, 9)
 SLICE = 500
+#: Bits of a text's hash that go with an id where documents are dealt and marked, so that a shared id is no hot key.
+TAG = (1 << 24) - 1
 _U = np.uint64
 _BLOB = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 #: kinds of blobs: anchors and whole documents that meet, and anchors and documents known to be repeated
@@ -47,10 +49,16 @@ _ANCHOR, _WHOLE, _KNOWN, _COPY = range(4)
 
 def _keyed(df: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
     """row (the other columns), key (the id, null as the least number), sub (a hash of the text), text, bucket."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    row = F.struct(*[F.col(c) for c in df.columns if c != text_col] or [F.lit(0).alias("none")])
-    return df.select(row.alias("row"), key.alias("key"), F.xxhash64(text).alias("sub"), text.alias("text")).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
+    text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
+    key = F.coalesce(F.col(quoted(id_col)).cast("long"), F.lit(LEAST))
+    row = F.struct(*[F.col(quoted(c)).alias(c) for c in df.columns if c != text_col] or [F.lit(0).alias("none")])
+    keyed = df.select(row.alias("row"), key.alias("key"), F.xxhash64(text).alias("sub"), text.alias("text"))
+    return keyed.withColumn("bucket", F.pmod(F.xxhash64("key", F.col("sub").bitwiseAND(F.lit(TAG))), F.lit(buckets)).cast("int"))
+
+
+def _marks(keys: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    """A number for each document's id and tag; documents that share one are looked at more closely than they need."""
+    return mixed(keys + mixed(tags + _U(1)))
 
 
 def _first(keys: list[np.ndarray], order: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,11 +90,12 @@ def _anchors(docs: DataFrame, window: int, parts: int) -> DataFrame:
             for kind, take in ((_ANCHOR, first), (_KNOWN, many & ~first)):
                 i = at[take]
                 key, place = keys[s.document[i]], s.place[i].astype(np.uint64)
+                tag = subs[s.document[i]] & _U(TAG)
                 if kind == _ANCHOR:
                     flag = many[take].astype(np.uint64)
-                    out += [(p, kind, x) for p, x in dealt((hashes[take] % _U(parts)).astype(np.int64), hashes[take], key, place, flag)]
+                    out += [(p, kind, x) for p, x in dealt((hashes[take] % _U(parts)).astype(np.int64), hashes[take], key, tag, place, flag)]
                 elif len(i):
-                    out.append((int(key[0] % _U(parts)), kind, pack(key, place)))
+                    out.append((int(key[0] % _U(parts)), kind, pack(key, tag, place)))
             full = np.flatnonzero(s.counts >= window)
             digests = [xxhash.xxh3_128_intdigest(b" ".join(s.words[i])) for i in full]
             high, low = (np.array([d >> k & (1 << 64) - 1 for d in digests], np.uint64) for k in (64, 0))
@@ -140,33 +149,35 @@ _FLAG = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.bin
 _FLAGS = "bucket int, kind int, blob binary"
 
 
-def _bucket_column(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket that Spark's xxhash64 gives each key."""
-    values, back = np.unique(signed(keys), return_inverse=True)
-    own = np.array([xxhash.xxh64_intdigest(int(v).to_bytes(8, "little", signed=True), 42) for v in values.tolist()], np.uint64).view(np.int64)
-    return (own % buckets)[back]
+def _bucket_column(keys: np.ndarray, tags: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket that Spark's xxhash64 gives each key and tag."""
+    values, back = np.unique(np.stack([keys, tags], axis=1), axis=0, return_inverse=True)
+    raw = np.stack([signed(values[:, 0]), values[:, 1].view(np.int64)], axis=1).astype("<i8").tobytes() if len(values) else b""
+    digest = xxhash.xxh64_intdigest
+    own = np.array([digest(raw[i + 8 : i + 16], digest(raw[i : i + 8], 42)) for i in range(0, len(raw), 16)], np.uint64).view(np.int64)
+    return (own % buckets)[back.ravel()]
 
 
 def _repeated_anchors(anchors: DataFrame, n: int, buckets: int) -> DataFrame:
-    """By bucket: places of repeated anchors (kind _KNOWN: key, place), later copies (kind _COPY: key, sub)."""
+    """By bucket: places of repeated anchors (kind _KNOWN: key, tag, place), later copies (kind _COPY: key, sub)."""
 
     def finish(held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
         out = []
         if _ANCHOR in held:
-            hashes, keys, places, flags = joined(held[_ANCHOR], 4)
+            hashes, keys, tags, places, flags = joined(held[_ANCHOR], 5)
             rows, group, sizes = _first([hashes], [keys])
             flagged = np.bincount(group, flags[rows], len(sizes)) > 0 if len(rows) else sizes > 0
             rows = rows[((sizes > 1) | flagged)[group]]
-            out += [(b, _KNOWN, x) for b, x in dealt(_bucket_column(keys[rows], buckets), keys[rows], places[rows])]
+            out += [(b, _KNOWN, x) for b, x in dealt(_bucket_column(keys[rows], tags[rows], buckets), keys[rows], tags[rows], places[rows])]
         if _KNOWN in held:
-            keys, places = joined(held[_KNOWN], 2)
-            out += [(b, _KNOWN, x) for b, x in dealt(_bucket_column(keys, buckets), keys, places)]
+            keys, tags, places = joined(held[_KNOWN], 3)
+            out += [(b, _KNOWN, x) for b, x in dealt(_bucket_column(keys, tags, buckets), keys, tags, places)]
         copies = joined(held[_COPY], 2) if _COPY in held else [np.zeros(0, np.uint64)] * 2
         if _WHOLE in held:
             high, low, keys, subs = joined(held[_WHOLE], 4)
             late = _later(high, low, keys, subs)
             copies = [np.concatenate([a, b[late]]) for a, b in zip(copies, (keys, subs), strict=True)]
-        out += [(b, _COPY, x) for b, x in dealt(_bucket_column(copies[0], buckets), *copies)]
+        out += [(b, _COPY, x) for b, x in dealt(_bucket_column(copies[0], copies[1] & _U(TAG), buckets), *copies)]
         yield batch(_FLAG, *(zip(*out, strict=True) if out else [[]] * 3))
 
     return _by_part(anchors, n, finish, _FLAGS)
@@ -174,7 +185,7 @@ def _repeated_anchors(anchors: DataFrame, n: int, buckets: int) -> DataFrame:
 
 def _held(flags: pa.Table, kind: int) -> list[np.ndarray]:
     mine = [b for k, b in zip(flags["kind"].to_pylist(), flags["blob"].to_pylist(), strict=True) if k == kind]
-    return joined(mine, 3 if kind == _WHOLE else 2)
+    return joined(mine, 2 if kind == _COPY else 3)
 
 
 def _windows(docs: DataFrame, flags: DataFrame, window: int, parts: int) -> DataFrame:
@@ -184,9 +195,11 @@ def _windows(docs: DataFrame, flags: DataFrame, window: int, parts: int) -> Data
         known, copies = _held(right, _KNOWN), _held(right, _COPY)
         gone = set(zip(copies[0].tolist(), copies[1].tolist(), strict=True))
         keys, subs = ordered(left["key"].to_numpy()), ordered(left["sub"].to_numpy())
-        order = np.lexsort([known[1], known[0]])
-        marked, places = known[0][order], known[1][order].astype(np.int64)
-        keep = [i for i, x in enumerate(zip(keys.tolist(), subs.tolist(), strict=True)) if x not in gone and np.searchsorted(marked, keys[i]) < np.searchsorted(marked, keys[i], "right")]
+        marked = _marks(known[0], known[1])
+        order = np.lexsort([known[2], marked])
+        marked, places, own = marked[order], known[2][order].astype(np.int64), _marks(keys, subs & _U(TAG))
+        begins, ends = np.searchsorted(marked, own), np.searchsorted(marked, own, "right")
+        keep = [i for i, x in enumerate(zip(keys.tolist(), subs.tolist(), strict=True)) if begins[i] < ends[i] and x not in gone]
         out = []
         for j in range(0, len(keep), SLICE):
             mine = np.array(keep[j : j + SLICE])
@@ -194,8 +207,8 @@ def _windows(docs: DataFrame, flags: DataFrame, window: int, parts: int) -> Data
             n = max(0, len(s.hashes) - window + 1)
             edge = np.zeros(len(s.hashes) + 1, np.int64)
             for k, i in enumerate(mine):
-                p = places[np.searchsorted(marked, keys[i]) : np.searchsorted(marked, keys[i], "right")]
-                p = p[p < s.counts[k]]  # of a document with the same id
+                p = places[begins[i] : ends[i]]
+                p = p[p < s.counts[k]]  # of a document with the same mark
                 np.add.at(edge, s.begins[k] + np.maximum(0, p - (PERIOD - 1)), 1)
                 np.add.at(edge, s.begins[k] + p + 1, -1)
             at = np.flatnonzero(s.whole(window) & (np.cumsum(edge)[:n] > 0))
@@ -219,7 +232,7 @@ def _repeated_windows(windows: DataFrame, n: int, buckets: int) -> DataFrame:
             high, low, *order = joined(held[_ANCHOR], 5)
             late = _later(high, low, *order)
             found = [np.concatenate([a, b[late]]) for a, b in zip(found, order, strict=True)]
-        out = [(b, _WHOLE, x) for b, x in dealt(_bucket_column(found[0], buckets), *found)]
+        out = [(b, _WHOLE, x) for b, x in dealt(_bucket_column(found[0], found[1] & _U(TAG), buckets), *found)]
         yield batch(_FLAG, *(zip(*out, strict=True) if out else [[]] * 3))
 
     return _by_part(windows, n, finish, _FLAGS)
@@ -232,18 +245,19 @@ def _removed(docs: DataFrame, repeats: DataFrame, window: int, digest: bool) ->
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         copies, marks = _held(right, _COPY), _held(right, _WHOLE)
         gone = set(zip(copies[0].tolist(), copies[1].tolist(), strict=True))
-        order = np.lexsort([marks[2], marks[1], marks[0]])
-        marked, sub_of, places = marks[0][order], marks[1][order], marks[2][order].astype(np.int64)
+        of = _marks(marks[0], marks[1])  # the whole hash of the text is there
+        order = np.lexsort([marks[2], of])
+        marked, places = of[order], marks[2][order].astype(np.int64)
         keys, subs = ordered(left["key"].to_numpy()), ordered(left["sub"].to_numpy())
-        out = []
+        own, out = _marks(keys, subs), []
+        begins, ends = np.searchsorted(marked, own), np.searchsorted(marked, own, "right")
         for i, text in enumerate(left["text"].to_pylist()):
             words = text.encode().split()
             removed, kept = 0, words
             if len(words) >= window and (int(keys[i]), int(subs[i])) in gone:
                 removed, kept = len(words), []
             elif len(words) >= window:
-                a, b = np.searchsorted(marked, keys[i]), np.searchsorted(marked, keys[i], "right")
-                p = places[a:b][sub_of[a:b] == subs[i]]
+                p = places[begins[i] : ends[i]]
                 if len(p):
                     edge = np.zeros(len(words) + 1, np.int64)
                     np.add.at(edge, p, 1)
@@ -280,13 +294,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     kept = _kept(df, id_col, text_col, window, False)
     own = [c for c in df.columns if c not in ("n_words", "n_removed")]
-    return kept.select(*[(F.col("kept") if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in own], "n_words", "n_removed")
+    return kept.select(*[(F.col("kept") if c == text_col else F.col(f"row.{quoted(c)}")).alias(c) for c in own], "n_words", "n_removed")
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, and the sha256 of the kept words joined by one space."""
-    kept = _kept(df.select(id_col, text_col), id_col, text_col, window, True)
-    return kept.select(F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+    kept = _kept(df.select(quoted(id_col), quoted(text_col)), id_col, text_col, window, True)
+    return kept.select(F.col(f"row.{quoted(id_col)}").cast("long").alias("doc_id"), "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

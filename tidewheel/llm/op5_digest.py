@@ -7,13 +7,15 @@ to 6 for each bucket by how many quartiles lie between, plus the distance of the
 Likeness is 1 for equal digests and falls to 0 at the score that unrelated texts reach.
 
 The edited text of a document takes its second half from the next one.  For that, documents are dealt to
-ranges of their ids, cut by a histogram of at most 4096 cells, and the first document of each range
-is also given to the range before; within a range a stream of rows keeps only the one before.
+ranges of (id, hash of the text), cut at quantiles of a sample, so outlying, null or shared ids make no range
+larger than others; the first document of each range is also given to the range before.  Within a range a
+stream of rows keeps only the one before.  Ranges follow the input's size, up to RANGES, with SAMPLES rows of the
+sample each; the sample only places the cuts and has no bearing on the result.
 
 Defined results: a null text is empty; an empty text has the digest with no counts; texts of one or two
 bytes count one triplet, filled up with zeros; null ids come before all others; of documents that share
-an id, the order is that of their texts; a single document is its own next; an empty table gives no rows;
-extra columns are ignored.
+an id, the order is that of hashes of their texts, and equal rows follow each other; a single document is its
+own next; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,17 +24,17 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import batch, partitions_for, slices, table
+from tidewheel.llm.common import LEAST, batch, identified, partitions_for, slices, table
 
 BUCKETS = 256
-CELLS = 4096
+RANGES, SAMPLES = 50_000, 50
 #: Scores at which the parts of a difference are cut off, and the one at which likeness is 0.
 LENGTH_CAP, UNLIKE = 40, 400
-LEAST = -(1 << 63)
 _LETTERS = np.array([np.random.default_rng(k).permutation(256).astype(np.uint8) for k in (11, 12, 13)])
 
 
@@ -64,43 +66,44 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 1 - np.minimum(difference(a, b), UNLIKE) / UNLIKE
 
 
-def _ranges(df: DataFrame, n: int) -> tuple[list[int], int, int, list[tuple[int, int]]]:
-    """Of each cell its range; the least key and the width of a cell; range and first key of each range."""
-    ends = df.agg(F.min("key").alias("a"), F.max("key").alias("b")).first()
-    if ends["a"] is None:
-        return [0], 0, 1, []
-    low = df.where(F.col("key") != LEAST).agg(F.min("key").alias("a")).first()["a"]
-    low = ends["b"] if low is None else low
-    width = -(-(ends["b"] - low + 1) // CELLS)
-    cells = df.groupBy(_cell(low, width).alias("cell")).agg(F.count("*").alias("n"), F.min("key").alias("first")).orderBy("cell").collect()
-    total, seen, ranges, firsts = sum(c["n"] for c in cells), 0, [0] * CELLS, []
-    for c in cells:
-        r = min(n - 1, seen * n // total)
-        ranges[c["cell"]] = r
-        if not firsts or firsts[-1][0] != r:
-            firsts.append((r, c["first"]))
-        seen += c["n"]
-    return ranges, low, width, firsts
+def _cuts(docs: DataFrame, rows: int, n: int) -> list[tuple[int, int]]:
+    """The first (key, sub) of every range but the first; all are rows of the table."""
+    sample = docs.select("key", "sub").sample(min(1.0, SAMPLES * n / max(rows, 1)), 7).toPandas()  # about SAMPLES * n rows of two numbers
+    sample = sample.sort_values(["key", "sub"])
+    return sorted({(int(sample["key"].iloc[i]), int(sample["sub"].iloc[i])) for i in (len(sample) * k // n for k in range(1, n))}) if len(sample) else []
 
 
-def _cell(low: int, width: int):
-    key = F.col("key").cast("decimal(20,0)")
-    return F.when(F.col("key") < low, 0).otherwise(F.floor((key - F.lit(low).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)"))).cast("int")
+def _place(cuts: list[tuple[int, int]]):
+    """A pandas UDF: the range of key and sub."""
+    keys, subs = (np.array([c[i] for c in cuts], np.int64) for i in (0, 1))
+
+    @F.pandas_udf("int")
+    def place(key: pd.Series, sub: pd.Series) -> pd.Series:
+        k, s = key.to_numpy(), sub.to_numpy()
+        low, high = np.searchsorted(keys, k), np.searchsorted(keys, k, "right")
+        for i in np.flatnonzero(low < high):  # cuts within an id
+            low[i] += np.searchsorted(subs[low[i] : high[i]], s[i], "right")
+        return pd.Series(low.astype(np.int32))
+
+    return place
 
 
 def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows in streams: range, tail, key, text, sorted; a tail is the first document of the next range."""
-    spark, n = df.sparkSession, partitions_for(df, 16)
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ranges, low, width, firsts = _ranges(docs.select("key"), min(n, CELLS))
-    # cell numbers and ranges as one literal, at most CELLS entries
-    of_cell = F.split(F.lit(",".join(map(str, ranges))), ",").cast("array<int>")
-    placed = docs.withColumn("range", F.element_at(of_cell, _cell(low, width) + 1))
-    before = [(a[0], b[1]) for a, b in zip(firsts, firsts[1:] + firsts[:1], strict=True)]
-    tails = spark.createDataFrame(before, "before int, key long")  # a row for each range
-    tail = docs.join(F.broadcast(tails), "key").groupBy("before").agg(F.min(F.struct("key", "text")).alias("t"))
-    both = placed.select("range", F.lit(0).alias("tail"), "key", "text").unionByName(tail.select(F.col("before").alias("range"), F.lit(1).alias("tail"), "t.key", "t.text"))
-    return both.repartition(n, "range").sortWithinPartitions("range", "tail", "key", "text")
+    spark, docs = df.sparkSession, identified(df, id_col, text_col)
+    whole = docs.agg(F.count("*").alias("n"), F.min(F.struct("key", "sub")).alias("least")).first()
+    cuts = _cuts(docs, whole["n"], min(partitions_for(df, 16), RANGES))
+    least = [tuple(whole["least"])] if whole["n"] else []
+    if least and cuts and cuts[0] == least[0]:
+        cuts = cuts[1:]
+    place, n = _place(cuts), len(cuts) + 1
+    placed = docs.withColumn("range", place("key", "sub"))
+    # of each range the first document of the next; the last one is followed by the first of all: at most RANGES rows
+    tails = spark.createDataFrame([(i, *c) for i, c in enumerate([*cuts, *least])], "before int, key long, sub long")
+    tail = docs.join(F.broadcast(tails), ["key", "sub"]).groupBy("before").agg(F.min(F.struct("key", "sub", "sub2", "text")).alias("t"))
+    columns = ("key", "sub", "sub2", "text")
+    both = placed.select("range", F.lit(0).alias("tail"), *columns).unionByName(tail.select(F.col("before").alias("range"), F.lit(1).alias("tail"), *[F.col(f"t.{c}") for c in columns]))
+    return both.repartitionById(n, "range").sortWithinPartitions("range", "tail", "key", "sub", "sub2").select("range", "tail", "key", "text")
 
 
 _SCHEMA = pa.schema(
