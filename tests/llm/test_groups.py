@@ -325,6 +325,23 @@ def test_pipeline_near_duplicates_of_null_and_shared_ids(spark, documents):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("stage", ["near_duplicates", "repeated_passages", "personal_data"])
+def test_pipeline_stages_keep_odd_columns_and_take_empty_tables(spark, documents, stage):
+    from pyspark.sql import functions as F
+
+    texts = [" ".join(f"{k}{i}" for i in range(30)) for k in "abcab"] + [None, ""]
+    docs = documents(texts, [3, None, 1, 4, None, None, 7])
+    docs = docs.withColumn("meta.url", F.concat(F.lit("u"), "n_chars")).withColumn("_key", F.lit(1)).withColumn("key", F.lit("k")).withColumn("row", F.create_map(F.lit("a"), F.lit(1)))
+    run = dict(corpus_pipeline.STAGES)[stage]
+    got = run(spark, docs, "")
+    assert got.columns == docs.columns
+    rows = got.collect()
+    assert len(rows) == {"near_duplicates": 5, "repeated_passages": 6, "personal_data": 7}[stage]
+    assert all(r["_key"] == 1 and r["key"] == "k" and r["meta.url"].startswith("u") and r["row"] == {"a": 1} for r in rows)
+    empty = run(spark, docs.limit(0), "")
+    assert empty.columns == docs.columns and empty.count() == 0
+
+
 def test_pipeline_passage_stage(spark, documents):
     texts = corpus(13, 80)
     rows = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_passages(spark, documents(texts), "").collect()}

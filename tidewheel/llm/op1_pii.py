@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewheel.llm.common import batch, documents, slices, table
+from tidewheel.llm.common import batch, documents, mapped, slices, table
 from tidewheel.llm.pieces import keep_only
 from tidewheel.llm.tagger import KINDS, Tagger, classes, spans, trained
 
@@ -155,16 +155,16 @@ def detect(df: DataFrame, model: Tagger | None = None, id_col: str = "doc_id", t
 def redact(df: DataFrame, text_col: str = "text", model: Tagger | None = None) -> DataFrame:
     """The rows with every span of text_col replaced by its kind; null texts stay null, other columns as they are."""
     model = model or tagger()
-    at, names = df.columns.index(text_col), df.columns
+    at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_only()
         for b in slices(batches):
             texts = b.column(at).to_pylist()
             new = [t if t is None else redacted(t, x) for t, (_, x) in zip(texts, find([t or "" for t in texts], model), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == at else b.column(i) for i in range(len(names))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == at else b.column(i) for i in range(b.num_columns)], names=b.schema.names)
 
-    return df.mapInArrow(run, df.schema)
+    return mapped(df, run)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import batch, slices, table
+from tidewheel.llm.common import batch, mapped, slices, table
 from tidewheel.llm.pieces import keep_only
 
 #: Bound on labelled documents for fitting, bound on kept words, weight of the prior against all counts, least ratio of odds.
@@ -195,7 +195,7 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold:
         for b in slices(batches):
             yield b.filter(pa.array([model.score(t or "")[0] < threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run)
 
 
 def train(spark: SparkSession, sf_dir: str) -> Model:

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from tidewheel.llm import op1_pii, op2_records, op3_jaccard, op4_substrings, op5_digest, op6_embeddings, op7_bpe, op8_toxicity, op9_counts, op10_pack
 
 
@@ -22,7 +21,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity.query,
         "op9_counts": op9_counts.query,
         "op10_pack": op10_pack.query,
-        "pipeline": corpus_pipeline.run,
     }
 
 
