@@ -1,5 +1,6 @@
 """Personal data and toxicity: fixed patterns against plain expressions, models on what they haven't seen."""
 
+import math
 import random
 import re
 
@@ -132,11 +133,38 @@ def segments_by_definition(scores):
 @given(st.lists(st.sampled_from(["bad", "worse", "ok", "meh"]), max_size=25))
 def test_maximal_segments(words):
     weights = {"bad": 1.37, "worse": 2.91}
-    m = op8_toxicity.Model(weights, 0.83)
+    m = op8_toxicity.Model(weights, 0.83, rate=1.3, volume=0.05, slope=0.7, offset=-3.0)
     got, n = m.segments(" ".join(words))
-    want = segments_by_definition([weights.get(w, -0.83) for w in words])
+    scores = [weights.get(w, -0.83) if w not in words[:i] else -0.83 for i, w in enumerate(words)]
+    want = segments_by_definition(scores)
     assert n == len(words)
     assert [(pytest.approx(s), a, b) for s, a, b in want] == got
+    # the score by its definition: the posterior over the law's tail at the best segment
+    best = max((sum(scores[i:j]) for i in range(n) for j in range(i + 1, n + 1)), default=0.0)
+    chance = 1 - math.exp(-0.05 * n * math.exp(-1.3 * best)) if best > 0 else 1.0
+    assert m.score(" ".join(words))[0] == pytest.approx(1 / (1 + math.exp(3.0 - 0.7 * min(20.0, -math.log(chance)))))
+
+
+def test_words_take_the_weight_of_their_strongest_token():
+    m = op8_toxicity.Model({"vile": 1.0, "vile*": 2.0, "viler*": 3.0}, 1.0, strength={"vile": 9.0, "vile*": 5.0, "viler*": 1.0})
+    assert [m.weight(w) for w in ("vile", "vilest", "vilerst", "vil", "evile")] == [1.0, 2.0, 2.0, None, None]
+
+
+def test_near_copies_are_learnt_from_once(spark, documents):
+    """A clean text that only happens to be copied often in the toxic class teaches nothing about its words."""
+    texts, marks = toxic_corpus(400)
+    copied = " ".join(f"special{i}" for i in range(80))
+    texts += [f"{copied} v{i} vile awful" for i in range(60)]
+    labels = spark.createDataFrame(marks + [(400 + i, 1) for i in range(60)], "doc_id long, toxic int")
+    model = op8_toxicity.fit(documents(texts).select("doc_id", "text"), labels)
+    assert not any(t.startswith("spec") for t in model.weights) and "vile" in model.weights
+
+
+def test_labelled_ids_of_many_rows(spark, documents):
+    texts, marks = toxic_corpus(200)
+    docs = documents(texts + [f"more {i}" for i in range(50)], [*range(200), *[0] * 50])
+    model = op8_toxicity.fit(docs.select("doc_id", "text"), spark.createDataFrame(marks, "doc_id long, toxic int"))
+    assert {"vile", "awful", "rotten"} <= set(model.weights)
 
 
 def toxic_corpus(n=600, seed=1):
