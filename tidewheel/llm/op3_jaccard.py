@@ -14,7 +14,7 @@ for the next, to the buckets of its parts' contents.  Then
    their count vectors, and what survives the bound in it is joined to groups, as a spanning forest.  The sets
    of a larger bucket are a group about one of them, the pivot, so a group of near copies gives rows in
    proportion to its size;
-2. each set of a group goes there once.  Groups of more than CELL_BLOCK sets are cut into cells that share
+2. each set of a group goes there once.  Groups of more than CELL_BLOCK sets, or CELL_ELEMENTS shingles, are cut into cells that share
    the pivot and some SHARED other sets.  In a cell the pivot is compared with all, then a tree gives the pairs to
    verify, but for those already connected; verified links give components;
 3. large buckets and cut groups whose sets aren't all of one component by then are compared exactly: blocks
@@ -52,7 +52,9 @@ from tidewheel.llm.words import BASES, Slice, mixed, runs
 
 GROUPS, LEAF, SLICE = 256, 16, 500
 #: Most sets of a bucket that is compared whole, and of a cell; sets that all cells of a group share, besides the pivot.
-BUCKET_BLOCK, CELL_BLOCK, SHARED = 512, 2048, 32
+BUCKET_BLOCK, CELL_BLOCK, SHARED = 512, 1024, 32
+#: Most elements of a cell's sets, so that long texts make smaller cells; elements looked at in one step.
+CELL_ELEMENTS, STEP = 1 << 20, 1 << 19
 #: Entries of parts that a task holds before it sends those of large buckets on.
 HELD = 2_000_000
 _U = np.uint64
@@ -212,18 +214,21 @@ class Overlaps:
     def __init__(self, sets: list[np.ndarray]):
         self.sizes = np.array([len(x) for x in sets], np.int64)
         self.begins = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.element = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        self.element = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
         self.mark = np.zeros(int(self.element.max(initial=-1)) + 1, bool)
 
     def __call__(self, i: int, others: np.ndarray) -> np.ndarray:
         """Sets without elements don't come here."""
         mine = self.element[self.begins[i] : self.begins[i + 1]]
         self.mark[mine] = True
-        starts = np.concatenate([[0], np.cumsum(self.sizes[others])])
-        at = np.arange(starts[-1]) + np.repeat(self.begins[others] - starts[:-1], self.sizes[others])
-        out = np.add.reduceat(self.mark[self.element[at]], starts[:-1], dtype=np.int64)
+        ends, out = np.cumsum(self.sizes[others]), []
+        for part in np.split(others, np.searchsorted(ends, np.arange(STEP, ends[-1], STEP))):
+            if len(part):
+                starts = np.concatenate([[0], np.cumsum(self.sizes[part])])
+                at = np.arange(starts[-1]) + np.repeat(self.begins[part] - starts[:-1], self.sizes[part])
+                out.append(np.add.reduceat(self.mark[self.element[at]], starts[:-1], dtype=np.int64))
         self.mark[mine] = False
-        return out
+        return np.concatenate(out)
 
 
 def connected(vectors: np.ndarray, sizes: np.ndarray, threshold: Threshold, overlaps: Overlaps | None = None, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -474,19 +479,20 @@ def _points(docs: DataFrame, width: int, sets: bool) -> DataFrame:
 
 
 def _cells(groups: DataFrame) -> DataFrame:
-    """groups: pivot, node.  cell, set_id: each group's sets in cells of about CELL_BLOCK, with the pivot and some others in all of them."""
+    """groups: pivot, node, room.  cell, set_id: each group's sets in cells of at most about 1 in room, with the pivot and some others in all of them."""
     nodes = groups.where("pivot <> node").distinct()
-    sized = nodes.join(nodes.groupBy("pivot").agg(F.count("*").alias("m")), "pivot").withColumn("k", F.ceil(F.col("m") / CELL_BLOCK).cast("int"))
+    whole = nodes.groupBy("pivot").agg(F.count("*").alias("m"), F.ceil(F.sum("room")).cast("int").alias("k"))
+    sized = nodes.join(whole, "pivot")
     every = F.sequence(F.lit(0), F.col("k") - 1)
     shared = (F.col("k") > 1) & (F.pmod(F.xxhash64(F.lit(2), "node"), F.greatest(F.lit(1), F.floor(F.col("m") / SHARED))) == 0)
     own = sized.withColumn("block", F.explode(F.when(shared, every).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("k")).cast("int")))))
-    pivots = sized.select("pivot", "k").distinct().withColumn("block", F.explode(every))
+    pivots = whole.withColumn("block", F.explode(every))
     cell = F.xxhash64("pivot", "block").alias("cell")
     return own.select(cell, F.col("node").alias("set_id")).unionByName(pivots.select(cell, F.col("pivot").alias("set_id")))
 
 
 def _apart(groups: DataFrame, label: DataFrame) -> DataFrame:
-    """groups: g, node; label: node, component.  g, node, component of the groups that are of more than one component."""
+    """groups: g, node, room; label: node, component.  The same and component of the groups that are of more than one component."""
     known = groups.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     more = known.groupBy("g").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("g")
     return known.join(more, "g", "left_semi").distinct()
@@ -494,13 +500,13 @@ def _apart(groups: DataFrame, label: DataFrame) -> DataFrame:
 
 def _across(apart: DataFrame) -> DataFrame:
     """cell, set_id, label: every two sets of a group that are of different components meet in a cell of about two blocks."""
-    counts = apart.groupBy("g", "component").agg(F.count("*").alias("n"))
-    few = counts.where(F.col("n") < CELL_BLOCK).groupBy("g").agg(F.sum("n").alias("rest"))
+    counts = apart.groupBy("g", "component").agg(F.sum("room").alias("n"))
+    few = counts.where("n < 1").groupBy("g").agg(F.sum("n").alias("rest"))
     sized = apart.join(counts, ["g", "component"]).join(few, "g", "left")
-    big = F.col("n") >= CELL_BLOCK
+    big = F.col("n") >= 1
     # a large component is cut by the sets' hashes; small ones are kept whole and pooled
-    pool = F.xxhash64(F.lit(0), F.pmod(F.xxhash64("component"), F.ceil(F.col("rest") / CELL_BLOCK)))
-    block = F.when(big, F.xxhash64(F.lit(1), "component", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CELL_BLOCK)))).otherwise(pool)
+    pool = F.xxhash64(F.lit(0), F.pmod(F.xxhash64("component"), F.ceil("rest")))
+    block = F.when(big, F.xxhash64(F.lit(1), "component", F.pmod(F.xxhash64("node"), F.ceil("n")))).otherwise(pool)
     placed = sized.select("g", "node", "component", F.when(big, F.col("component")).alias("own"), block.alias("block"))
     others = placed.select("g", F.col("own").alias("other_own"), F.col("block").alias("other")).distinct()
     met = placed.join(others, "g").where("own is null or other_own is null or own <> other_own")
@@ -514,7 +520,7 @@ def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     met = written(_buckets(_meetings(docs, width, threshold, n), n), "buckets")
     found = met.where(F.col("kind") == _DOC).select(*_IDENTITY, "size", "set_id")
     # the least document of each set stands for it, and has the set's text
-    stands = found.where("size > 0").groupBy("set_id").agg(F.min(F.struct(*_IDENTITY)).alias("least"))
+    stands = found.where("size > 0").groupBy("set_id").agg(F.min(F.struct(*_IDENTITY)).alias("least"), F.max("size").alias("elements"))
     # sets that are near share many parts: their bucket is needed once
     members = met.where(F.col("kind") == _PART).select("bucket", "set_id").distinct()
     large = met.where(F.col("kind") == _LARGE)
@@ -522,18 +528,21 @@ def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     points = written(_points(of(members.select("set_id").distinct()), width, False), "points")
     vectors = points.dropDuplicates(["set_id"]).withColumnRenamed("held", "vector")
     near = _near(members.join(vectors, "set_id").select("bucket", "set_id", "size", "vector"), n, threshold)
-    candidates = components(near).select(F.col("component").alias("pivot"), "node")
-    cells = written(_cells(candidates.unionByName(large.select("pivot", F.col("set_id").alias("node")))), "cells")
+    room = F.greatest(F.lit(1.0 / CELL_BLOCK), F.col("elements") / CELL_ELEMENTS).alias("room")
+    sized = lambda nodes: nodes.join(stands.select(F.col("set_id").alias("node"), room), "node")
+    candidates = written(sized(components(near).select(F.col("component").alias("pivot"), "node")), "candidates")
+    hot = written(sized(large.select("bucket", "pivot", F.col("set_id").alias("node")).distinct()), "hot")
+    cells = written(_cells(candidates.unionByName(hot.drop("bucket"))), "cells")
     # few sets are left in cells; only theirs are read and moved whole
     shingles = written(_points(of(cells.select("set_id").distinct()), width, True).dropDuplicates(["set_id"]).select("set_id", F.col("held").alias("shingles")), "shingles")
     verify = lambda c: written(_linked(c.join(shingles, "set_id").select("cell", "set_id", "label", "shingles"), n, threshold), "links")
     links = verify(cells.withColumn("label", F.lit(None).cast("binary")))
     label = components(links)
     # what was not compared whole, and isn't connected by now
-    cut = candidates.join(candidates.groupBy("pivot").agg(F.count("*").alias("m")).where(F.col("m") > CELL_BLOCK), "pivot", "left_semi")
-    whole = large.select(F.xxhash64("bucket").alias("g"), F.col("set_id").alias("node")).unionByName(cut.select(F.xxhash64("pivot").alias("g"), "node"))
+    cut = candidates.join(candidates.groupBy("pivot").agg(F.sum("room").alias("m")).where("m > 1"), "pivot", "left_semi")
+    whole = hot.select(F.xxhash64("bucket").alias("g"), "node", "room").unionByName(cut.select(F.xxhash64("pivot").alias("g"), "node", "room"))
     apart = written(_apart(whole, label), "apart")
-    used = [points, cells, shingles, links, apart]
+    used = [points, candidates, hot, cells, shingles, links, apart]
     if not apart.isEmpty():
         more = verify(_across(apart))
         label = components(links.unionByName(more))
