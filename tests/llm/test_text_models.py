@@ -92,6 +92,81 @@ def test_windows_are_reconciled(model):
         assert base == [] and [text[a:b] for k, a, b in every if k == "phone"] == ["555-123-4567"]
 
 
+def viterbi(e, trans):
+    score, back = e[0].astype(np.float64), []
+    for x in e[1:]:
+        s = score[:, None] + trans
+        back.append(s.argmax(axis=0))
+        score = s.max(axis=0) + x
+    tags = [int(score.argmax())]
+    for b in back[::-1]:
+        tags.append(int(b[tags[-1]]))
+    return tags[::-1]
+
+
+def test_decoding_in_chunks_is_one_viterbi_pass(model):
+    texts = [t for t, _ in tagger.examples(40, seed=7)]
+    emissions = model.stitched([tagger.classes(t) for t in [" ".join(texts), *texts[:5], "x", " ".join(texts[:7])]])
+    for length, rows in ((16, 3), (100, 512), (256, 2)):
+        for e, tags in zip(emissions, model.decode(emissions, length, rows), strict=True):
+            assert tags.tolist() == viterbi(e, model.p["trans"].astype(np.float64))
+
+
+def test_sureness_is_the_share_of_all_sequences(model):
+    """Against all sequences of tags of a short region, one by one."""
+    import itertools
+
+    e = model.stitched([tagger.classes("7.7")])[0]
+    trans = model.p["trans"].astype(np.float64)
+    total = {}
+    for tags in itertools.product(range(tagger.N_TAGS), repeat=3):
+        total[tags] = math.exp(sum(float(e[i, t]) for i, t in enumerate(tags)) + sum(trans[a, b] for a, b in zip(tags, tags[1:], strict=False)))
+    want = sum(v for t, v in total.items() if t[:2] == (3, 4) and t[2] != 4) / sum(total.values())
+    assert model.sureness([e], [(0, 0, 2, np.array([3, 4]))])[0] == pytest.approx(want, rel=1e-4)
+
+
+def planted(r, n):
+    """Prose with spans that no pattern finds, of all four kinds, and traps."""
+    make = {
+        "email": lambda: f"{r.choice(['anna', 'j.doe', 'info42'])}{r.choice([' [at] ', '(at)', ' at '])}{r.choice(['mail', 'example', 'uni-x'])}{r.choice([' dot ', ' [dot] '])}{r.choice(['com', 'org'])}",
+        "ip": lambda: r.choice([" . ", "[.]", "(dot)"]).join(str(r.randint(0, 255)) for _ in range(4)),
+        "card": lambda: r.choice([".", "  ", ""]).join(str(r.randint(2000, 6999)) for _ in range(4)),
+        "phone": lambda: f"{r.randint(200, 999)}{(s := r.choice(['-', '.']))}{r.randint(200, 999)}{s}{r.randint(1000, 9999)}",
+    }
+    traps = ["Licensed under CC BY-NC 4.0.", "Version 2.0.", "12 | 40 | 7", "in 1998", "page 12", "3,400,120", "look at this dot", '"9b0b3c6a43eb78aa99cbd7049c"', "2019-11-04"]
+    out = []
+    for _ in range(n):
+        text, want = "", []
+        for _ in range(r.randint(20, 60)):
+            x = r.random()
+            if x < 0.05:
+                kind = r.choice(tagger.KINDS)
+                piece = make[kind]()
+                want.append((kind, len(text), len(text) + len(piece)))
+            else:
+                piece = r.choice(traps) if x < 0.12 else "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(1, 9)))
+            text += piece + " "
+        out.append((text, want))
+    return out
+
+
+def test_planted_spans_are_added(model):
+    rows = planted(random.Random(11), 300)
+    found = op1_pii.find([t for t, _ in rows], model)
+    want = {(i, *s) for i, (t, w) in enumerate(rows) for s in w if s not in found[i][0]}
+    got = {(i, *s) for i, (b, every) in enumerate(found) for s in every if s not in b}
+    for kind in tagger.KINDS:
+        mine, there = {x for x in got if x[1] == kind}, {x for x in want if x[1] == kind}
+        assert len(mine & there) > 0.75 * len(there) and len(mine & there) > 0.85 * len(mine), (kind, len(there), len(mine), len(mine & there))
+
+
+def test_a_long_text_of_numbers(model):
+    r = random.Random(5)
+    text = " ".join(str(r.randrange(10 ** r.randint(1, 6))) for _ in range(30_000))
+    (base, every), (small, _) = op1_pii.find([text, "a@b.cc"], model)
+    assert set(base) <= set(every) and small == [("email", 0, 6)]
+
+
 def test_added_spans_and_base_ones(model):
     texts = ["mail anna [at] mail.example.com or +1 (988) 555-2485", "", "In 2019 it was $12.50, see page 12.", "x" * 5000]
     found = op1_pii.find(texts, model)

@@ -1,10 +1,13 @@
 """Personal data in text: fixed patterns, and what a character-level BiLSTM-CRF adds to them.
 
 The patterns' matches always stay.  The tagger, trained here on labelled spans, reads every region within
-MARGIN characters of a digit, an at sign or a bracketed "at", without which nothing counts as a
-span.  A region is cut into overlapping windows; where they overlap, their scores are averaged, and one
-Viterbi pass decodes the whole region.  A decoded span is added if it overlaps no other and has the
-form of its kind: such are phone numbers without a country code and addresses with their signs spelled out.
+MARGIN characters of a digit, an at sign, or an "at" or "dot" in brackets or by itself before a "dot", without which
+nothing counts as a span; text farther away is not read by it.  A region is cut into overlapping windows; where they
+overlap, their scores are averaged, and one Viterbi pass decodes the whole region, however long.  A decoded span that
+overlaps no other is added if the model's own posterior of it is SURE or more, and if the digits, whose values
+the model doesn't see, can be of its kind: four numbers up to 255 for an ip, 13 to 19 digits for a card, 8 to 15 for
+a phone; an email has a sign for at and one for dot.  So spans of all four kinds are added: spelled-out or spaced forms, phones without a country code, card
+numbers in dots or with a wrong check digit.
 
 Defined results: a null text is empty and holds nothing; positions count code points; a pattern's match
 that fails its further test is dropped and nothing within it tried again; rows of equal id are judged one
@@ -25,17 +28,16 @@ from tidewheel.llm.common import batch, documents, mapped, slices, table
 from tidewheel.llm.pieces import keep_only
 from tidewheel.llm.tagger import KINDS, Tagger, classes, spans, trained
 
-MARGIN = 40
+MARGIN, SURE = 40, 0.9
 Span = tuple[str, int, int]
-_TRIGGER = re.compile(r"[0-9@]+|\[at\]|\(at\)", re.IGNORECASE)
+_TRIGGER = re.compile(r"[0-9@]+|[\[(](?:at|dot)[\])]|\bat [\w.-]{1,40} dot\b", re.IGNORECASE)
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # a run of digits is tried from its start only: what fails there fails all along it
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+_AT, _DOT = re.compile(r"@|\bat\b", re.IGNORECASE), re.compile(r"\.|\bdot\b", re.IGNORECASE)
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_SPELLED = re.compile(r"[\w.%+-]+ ?(?:@|\[at\]|\(at\)) ?[\w-]+(?: ?(?:\.|\[dot\]|\(dot\)) ?[\w-]+)+", re.IGNORECASE)
-_BARE_PHONE = re.compile(r"(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,5}){2,4}")
 
 
 def luhn(digits: str) -> bool:
@@ -86,34 +88,35 @@ def regions(text: str) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _formed(text: str, span: Span) -> Span | None:
-    """A decoded span without white space around it, if it has the form of its kind and stands alone."""
-    kind, a, b = span
-    piece = text[a:b]
-    a, b = a + len(piece) - len(piece.lstrip()), b - len(piece) + len(piece.rstrip())
-    piece = text[a:b]
-    if (a and text[a - 1].isalnum()) or (b < len(text) and text[b].isalnum()):
-        return None
-    if kind == "email" and _SPELLED.fullmatch(piece):
-        return kind, a, b
-    if kind == "phone" and _BARE_PHONE.fullmatch(piece) and 10 <= sum(c.isdigit() for c in piece) <= 15 and sum(not c.isdigit() for c in piece) >= 2:
-        return kind, a, b
-    return None
+def _possible(kind: str, piece: str) -> bool:
+    """Whether the digits, which are all one character to the model, can be of the kind; an address has its two signs."""
+    if kind == "email":
+        return bool(_AT.search(piece) and _DOT.search(piece))
+    numbers = re.findall("[0-9]+", piece)
+    n = sum(map(len, numbers))
+    if kind == "ip":
+        return len(numbers) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in numbers)
+    return {"card": 13 <= n <= 19, "phone": 8 <= n <= 15}[kind]
 
 
 def find(texts: list[str], tagger: Tagger) -> list[tuple[list[Span], list[Span]]]:
     """Of each text its base spans, and all spans, both by kind and start."""
     base = [base_spans(t) for t in texts]
     where = [(i, a, b) for i, t in enumerate(texts) for a, b in regions(t)]
-    tags = tagger.decode(tagger.stitched([classes(texts[i][a:b]) for i, a, b in where]))
+    emissions = tagger.stitched([classes(texts[i][a:b]) for i, a, b in where])
+    maybe: list[tuple[int, int, int, object]] = []
+    kinds: list[str] = []
+    for k, ((i, a, _), tags) in enumerate(zip(where, tagger.decode(emissions), strict=True)):
+        for kind, x, y in spans(tags):
+            alone = (not a + x or not texts[i][a + x - 1].isalnum()) and (a + y >= len(texts[i]) or not texts[i][a + y].isalnum())
+            if alone and not any(p < a + y and a + x < q for _, p, q in base[i]) and _possible(kind, texts[i][a + x : a + y]):
+                maybe.append((k, x, y, tags[x:y]))
+                kinds.append(kind)
     added: list[list[Span]] = [[] for _ in texts]
-    for (i, a, _), found in zip(where, tags, strict=True):
-        taken = [(x, y) for _, x, y in base[i]] + [(x, y) for _, x, y in added[i]]
-        for kind, x, y in spans(found):
-            s = _formed(texts[i], (kind, a + x, a + y))
-            if s and not any(x < s[2] and s[1] < y for x, y in taken):
-                added[i].append(s)
-                taken.append(s[1:])
+    for (k, x, y, _), kind, p in zip(maybe, kinds, tagger.sureness(emissions, maybe), strict=True):
+        i, a, _ = where[k]
+        if p >= SURE:
+            added[i].append((kind, a + x, a + y))
     return [(b, sorted(b + x, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))) for b, x in zip(base, added, strict=True)]
 
 

@@ -130,11 +130,11 @@ class Tagger:
             losses.append(loss)
         return losses
 
-    def stitched(self, regions: list[np.ndarray], rows: int = 512) -> list[np.ndarray]:
+    def stitched(self, regions: list[np.ndarray], rows: int = 1024) -> list[np.ndarray]:
         """Emissions of whole regions: where windows overlap, their mean, weighted to their middles."""
         jobs = [(k, at) for k, r in enumerate(regions) for at in range(0, max(1, len(r) - STRIDE), STRIDE)]
-        sums, weights = [np.zeros((len(r), N_TAGS)) for r in regions], [np.zeros(len(r)) for r in regions]
-        shape = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(float)
+        sums, weights = ([np.zeros((len(r), k), np.float32) for r in regions] for k in (N_TAGS, 1))
+        shape = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)[:, None]
         for j in range(0, len(jobs), rows):
             x = np.full((len(jobs[j : j + rows]), WINDOW), PAD, np.uint8)
             for i, (k, at) in enumerate(jobs[j : j + rows]):
@@ -142,38 +142,133 @@ class Tagger:
                 x[i, : len(part)] = part
             for (k, at), e in zip(jobs[j : j + rows], self.emissions(x), strict=True):
                 n = min(WINDOW, len(regions[k]) - at)
-                sums[k][at : at + n] += e[:n] * shape[:n, None]
+                sums[k][at : at + n] += e[:n] * shape[:n]
                 weights[k][at : at + n] += shape[:n]
-        return [s / w[:, None] for s, w in zip(sums, weights, strict=True)]
+        return [s / w for s, w in zip(sums, weights, strict=True)]
 
-    def decode(self, emissions: list[np.ndarray], rows: int = 256) -> list[np.ndarray]:
-        """The best sequence of tags of each region."""
-        out: list[np.ndarray] = [None] * len(emissions)
-        order = sorted(range(len(emissions)), key=lambda k: len(emissions[k]))
-        trans = self.p["trans"].astype(np.float64)
-        for j in range(0, len(order), rows):
-            mine = order[j : j + rows]
-            steps = len(emissions[mine[-1]])
-            e = np.zeros((len(mine), steps, N_TAGS))
-            size = np.array([len(emissions[k]) for k in mine])
-            for i, k in enumerate(mine):
-                e[i, : size[i]] = emissions[k]
-            back, score = np.zeros((steps, len(mine), N_TAGS), np.int8), e[:, 0].copy()
-            for t in range(1, steps):
+    def decode(self, emissions: list[np.ndarray], length: int = 256, rows: int = 512) -> list[np.ndarray]:
+        """The best sequence of tags of each region, whatever its length: one Viterbi pass, in chunks.
+
+        What a chunk makes of the scores before it is a matrix (best way from each tag to each), so chunks are
+        worked off side by side: their matrices give the scores at which each chunk of a region begins, a second pass
+        keeps the ways back, and the chunks' ways are joined from the last to the first.
+        """
+        trans = self.p["trans"].astype(np.float32)
+        chunks = [(k, at) for k, e in enumerate(emissions) for at in range(0, max(len(e), 1), length)]
+        before = self._entries(emissions, chunks, trans, length, rows)
+        out, ways = [np.zeros(len(e), np.int8) for e in emissions], {}
+        chunks.sort(key=lambda c: min(length, len(emissions[c[0]]) - c[1]))
+        for j in range(0, len(chunks), rows):
+            mine = chunks[j : j + rows]
+            e, size = _grid(emissions, mine, length)
+            first = np.array([c in before for c in mine])
+            score = e[:, 0].copy()
+            back = np.zeros((e.shape[1], len(mine), N_TAGS), np.int8)
+            if first.any():
+                s = np.stack([before[c] for c in mine if c in before])[:, :, None] + trans
+                back[0, first] = s.argmax(axis=1)
+                score[first] += s.max(axis=1)
+            for t in range(1, e.shape[1]):
                 s = score[:, :, None] + trans
                 back[t] = s.argmax(axis=1)
                 score = np.where((t < size)[:, None], s.max(axis=1) + e[:, t], score)
-            tag = score.argmax(axis=1)
-            tags = np.zeros((len(mine), steps), np.int8)
-            for t in range(steps - 1, -1, -1):
-                tags[:, t] = tag
-                if t:
-                    tag = np.where(t < size, back[t, np.arange(len(mine)), tag], tag)
-            for i, k in enumerate(mine):
-                out[k] = tags[i, : size[i]]
+            # from every last tag the way to the first, and to the last tag of the chunk before
+            tag = np.broadcast_to(np.arange(N_TAGS, dtype=np.int8), (len(mine), N_TAGS))
+            way = np.zeros((e.shape[1], len(mine), N_TAGS), np.int8)
+            for t in range(e.shape[1] - 1, -1, -1):
+                way[t] = tag
+                tag = np.where((t < size)[:, None], np.take_along_axis(back[t], tag.astype(np.int64), axis=1), tag)
+            best = score.argmax(axis=1)
+            for i, (k, at) in enumerate(mine):
+                n = int(size[i])
+                if not at and n == len(emissions[k]):
+                    out[k][:] = way[:n, i, best[i]]
+                else:
+                    ways[k, at] = way[:n, i].copy(), tag[i].copy(), int(best[i])
+        for k, e in enumerate(emissions):
+            if len(e) > length:
+                last = None
+                for at in range((len(e) - 1) // length * length, -1, -length):
+                    way, entry, best = ways.pop((k, at))
+                    last = best if last is None else last
+                    out[k][at : at + len(way)] = way[:, last]
+                    last = int(entry[last])
+        return out
+
+    def _entries(self, emissions: list[np.ndarray], chunks: list[tuple[int, int]], trans: np.ndarray, length: int, rows: int) -> dict:
+        """Of every chunk but a region's first, the best scores of the tags before it."""
+        long = [c for c in chunks if len(emissions[c[0]]) > length]
+        matrices = {}
+        for j in range(0, len(long), rows):
+            mine = long[j : j + rows]
+            e, size = _grid(emissions, mine, length)
+            m = trans + e[:, 0][:, None]  # from the tag before the chunk to its first
+            for t in range(1, e.shape[1]):
+                step = (m[:, :, :, None] + trans).max(axis=2) + e[:, t][:, None]
+                m = np.where((t < size)[:, None, None], step, m)
+            matrices.update(zip(mine, m, strict=True))
+        out, score = {}, None
+        for k, at in long:
+            if not at:
+                # the first chunk has nothing before it: its matrix without a transition
+                e = emissions[k][:length]
+                score = e[0].astype(np.float32)
+                for t in range(1, len(e)):
+                    score = (score[:, None] + trans).max(axis=0) + e[t]
+            else:
+                out[k, at] = score
+                score = (score[:, None] + matrices[k, at]).max(axis=0)
+            score = score - score.max()
+        return out
+
+    def sureness(self, emissions: list[np.ndarray], found: list[tuple[int, int, int, np.ndarray]], context: int = 16) -> np.ndarray:
+        """found: region, start, end, tags.  The model's posterior of each span: that its characters have just these tags and the next isn't within it.
+
+        By sums over all sequences of tags of the span and context characters on both sides.
+        """
+        trans, out = self.p["trans"].astype(np.float64), np.zeros(len(found))
+        order = sorted(range(len(found)), key=lambda i: found[i][2] - found[i][1])
+        for j in range(0, len(order), 256):
+            mine = order[j : j + 256]
+            ends = []
+            parts = []
+            for i in mine:
+                k, a, b, tags = found[i]
+                low, high = max(0, a - context), min(len(emissions[k]), b + context)
+                e = emissions[k][low:high].astype(np.float64)
+                only = np.zeros((high - low, N_TAGS))
+                only[a - low : b - low] = -np.inf
+                only[np.arange(a - low, b - low), tags] = 0.0
+                if b < high:
+                    only[b - low, (int(tags[-1]) + 1) // 2 * 2] = -np.inf  # the inner tag of the kind would go on
+                parts.append((e, e + only))
+                ends.append(high - low)
+            size, z = np.array(ends), []
+            for which in (0, 1):
+                e = np.zeros((len(mine), int(size.max()), N_TAGS))
+                for i, p in enumerate(parts):
+                    e[i, : len(p[which])] = p[which]
+                alpha = e[:, 0]
+                for t in range(1, e.shape[1]):
+                    s = alpha[:, :, None] + trans
+                    top = s.max(axis=1)
+                    new = e[:, t] + top + np.log(np.exp(s - top[:, None]).sum(axis=1))
+                    alpha = np.where((t < size)[:, None], new, alpha)
+                top = alpha.max(axis=1)
+                z.append(top + np.log(np.exp(alpha - top[:, None]).sum(axis=1)))
+            out[mine] = np.exp(np.minimum(0.0, z[1] - z[0]))
         return out
 
 
+def _grid(emissions: list[np.ndarray], chunks: list[tuple[int, int]], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The chunks' scores side by side, filled up with zeros, and their sizes."""
+    size = np.array([min(length, len(emissions[k]) - at) for k, at in chunks])
+    e = np.zeros((len(chunks), max(int(size.max(initial=1)), 1), N_TAGS), np.float32)
+    for i, (k, at) in enumerate(chunks):
+        e[i, : size[i]] = emissions[k][at : at + length]
+    return e, size
+
+
 def spans(tags: np.ndarray) -> list[tuple[str, int, int]]:
     """kind, start and end of each run of one kind; a begin tag starts a new one."""
     out: list[list] = []
@@ -189,50 +284,62 @@ def spans(tags: np.ndarray) -> list[tuple[str, int, int]]:
 
 
 def examples(n: int, seed: int = 5) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """Labelled spans in invented text: texts and kind, start, end of what they hold."""
+    """Labelled spans in invented text: texts and kind, start, end of what they hold.
+
+    All kinds occur as they are written and as people hide or space them; what looks like them, but isn't, is as
+    common: prose in rows of a table, licences, versions, keys, amounts, dates, ranges and numbers of other lengths.
+    """
     r = random.Random(seed)
     digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
-    word = lambda a=2, b=9: "".join(r.choice("etaoinshrdlucmfwypvbgkéüñçö") for _ in range(r.randint(a, b)))
-    plain = lambda a=2, b=8: "".join(r.choice("etaoinshrdlucmfwypvbgk") for _ in range(r.randint(a, b)))
+    word = lambda a=1, b=12: "".join(r.choice("etaoinshrdlucmfwypvbgkéüñçöèóß") for _ in range(r.randint(a, b)))
+    plain = lambda a=2, b=9: "".join(r.choice("etaoinshrdlucmfwypvbgkqxzj") for _ in range(r.randint(a, b)))
+    hexes = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
 
     def host() -> str:
-        return ".".join([plain() + r.choice(["", digits(1)]) for _ in range(r.randint(1, 2))] + [r.choice(["com", "org", "net", "de", "fr", "io"])])
+        return ".".join([plain() + r.choice(["", "", "", digits(1), "-" + plain(1, 4)]) for _ in range(r.randint(1, 2))] + [r.choice(["com", "org", "net", "de", "fr", "io", "es"])])
 
     def email() -> str:
-        name = r.choice([plain(), f"{plain()}.{digits(2)}", f"{plain()}_{plain()}", f"{plain()}+{plain()}", plain() + digits(2)])
-        at = r.choice(["@"] * 5 + [" [at] ", " (at) ", "[at]", "(at)"])
-        return name + at + (host() if at == "@" or r.random() < 0.5 else host().replace(".", " [dot] " if "[" in at else " (dot) "))
+        name = r.choice([plain(), f"{plain()}.{digits(2)}", f"{plain()}_{plain()}", f"{plain()}+{plain()}", plain() + digits(2), f"{plain()}.{plain()}", f"{plain(1, 1)}.{plain()}", f"{plain()}-{plain()}"])
+        at, dot = r.choice([("@", "."), ("@", "."), ("@", "."), (" @ ", "."), (" [at] ", "."), (" (at) ", "."), ("[at]", "."), ("(at)", "."), (" [at] ", " [dot] "), (" (at) ", " (dot) "), ("[at]", "[dot]"), ("(at)", "(dot)"), (" at ", " dot "), ("@", " dot ")])
+        return name + at + host().replace(".", dot)
 
     def phone() -> str:
         a, b, c = digits(3), digits(3), digits(4)
-        return r.choice([f"+1 ({a}) {b}-{c}", f"+{digits(2)} {a} {b}{c}", f"+{digits(2)}-{a}-{b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{digits(11)}"])
+        forms = [f"+1 ({a}) {b}-{c}", f"+{digits(2)} {a} {b}{c}", f"+{digits(2)}-{a}-{b}-{c}", f"({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"+{digits(11)}", f"00{digits(2)} {a} {b}{c}", f"1-{a}-{b}-{c}"]
+        return r.choice(forms)
 
     def card() -> str:
-        four = [r.choice("3456") + digits(3), digits(4), digits(4), digits(4)]
-        return r.choice(["", "", " ", "-"]).join(four)
+        four = [r.choice("23456") + digits(3), digits(4), digits(4), digits(4)]
+        return r.choice(["", "", "", " ", "-", ".", "  ", "_", " - "]).join(four)
 
-    make = {"email": email, "ip": lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)), "card": card, "phone": phone}
-    hexes = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
+    def ip() -> str:
+        parts = [str(r.randint(0, 255)) for _ in range(4)]
+        return r.choice([".", ".", ".", ".", " . ", "[.]", "(.)", " dot ", "[dot]", "(dot)"]).join(parts)
+
+    make = {"email": email, "ip": ip, "card": card, "phone": phone}
+    row = lambda k: " | ".join(r.choice([word, word, lambda: digits(r.randint(1, 5))])() for _ in range(k))
     clean = [
-        lambda: str(r.randint(1900, 2030)), lambda: f"v{r.randint(0, 9)}.{r.randint(0, 20)}.{r.randint(0, 9)}", lambda: f"${r.randint(1, 999)}.{digits(2)}",
-        lambda: f"{r.randint(1990, 2029)}-{r.randint(10, 12)}-{r.randint(10, 28)}", lambda: f"{r.randint(10, 23)}:{digits(2)}", lambda: f"{plain()}={hexes(18)}",
-        lambda: "AKIA" + hexes(16).upper(), lambda: f"{r.randint(1, 99)},{digits(3)},{digits(3)}", lambda: digits(r.choice([5, 6, 7, 8, 9, 10, 12, 13])), lambda: f"@{plain()}",
-        lambda: f"{digits(2)} {digits(3)}", lambda: f"({r.randint(1, 40)})", lambda: f"{plain()} at {plain()}", lambda: f"{digits(3)}-{digits(2)}", lambda: f"https://{host()}/{plain()}{digits(3)}",
-        lambda: " ".join(digits(r.randint(1, 3)) for _ in range(r.randint(2, 5))), lambda: ", ".join(digits(r.randint(1, 4)) for _ in range(r.randint(2, 5))), lambda: " | ".join(digits(r.randint(1, 5)) for _ in range(r.randint(2, 4))),
+        lambda: str(r.randint(1900, 2030)), lambda: f"v{r.randint(0, 9)}.{r.randint(0, 20)}.{r.randint(0, 9)}", lambda: f"{r.randint(0, 9)}.{r.randint(0, 20)}", lambda: f"${r.randint(1, 999)}.{digits(2)}",
+        lambda: f"{r.randint(1990, 2029)}-{r.randint(10, 12)}-{r.randint(10, 28)}", lambda: f"{r.randint(10, 23)}:{digits(2)}:{digits(2)}", lambda: f'{plain()} = "{hexes(r.choice([20, 32, 40]))}"', lambda: f"{plain()}={hexes(18)}",
+        lambda: hexes(40), lambda: "AKIA" + hexes(16).upper(), lambda: f"{r.randint(1, 99)},{digits(3)},{digits(3)}", lambda: digits(r.choice([3, 5, 6, 7, 8, 9, 10, 11, 12, 13])), lambda: digits(r.choice([20, 21, 22, 24, 26, 30])), lambda: f"@{plain()}",
+        lambda: f"{digits(2)} {digits(3)}", lambda: f"({r.randint(1, 40)})", lambda: f"{word()} at {word()}", lambda: f"{word()} at {word()} dot", lambda: f"{digits(3)}-{digits(2)}", lambda: f"https://{host()}/{plain()}{digits(3)}", lambda: f"{word()} (at) {word()}", lambda: f"look @ {word()}",
+        lambda: " ".join(digits(r.randint(1, 3)) for _ in range(r.randint(2, 9))), lambda: ", ".join(digits(r.randint(1, 4)) for _ in range(r.randint(2, 6))), lambda: row(r.randint(2, 6)), lambda: f"{digits(2)}.{digits(2)}.{digits(4)}", lambda: f"{r.randint(1, 40)}.{r.randint(1, 9)}.{r.randint(1, 9)}",
+        lambda: r.choice(["Licensed under the Apache License, Version 2.0.", "Licensed under CC BY-NC 4.0.", "GNU General Public License, version 3.", "CC BY-SA 4.0", "ISO 8859-1", "RFC 2616, section 4.2", "Copyright (c) 2019"]), lambda: f"{plain().capitalize()} {plain().capitalize()} {r.randint(1, 9)}.{r.randint(0, 9)}.",
+        lambda: ".".join(digits(r.randint(1, 3)) for _ in range(r.choice([5, 6]))), lambda: ".".join(word() for _ in range(r.randint(2, 4))), lambda: "-".join(digits(r.randint(1, 5)) for _ in range(2)), lambda: f"{digits(4)} {digits(4)}",
     ]
     out = []
     for _ in range(n):
-        text, found = "", []
-        while len(text) < WINDOW + 20:
+        text, found, shout, between = "", [], r.random() < 0.1, r.choice([" "] * 8 + [" | ", "!! ", "%% ", "\n"])
+        while len(text) < WINDOW + 40:
             x = r.random()
-            if x < 0.2:
+            if x < 0.15:
                 kind = r.choice(KINDS)
                 piece = make[kind]()
                 found.append((kind, len(text), len(text) + len(piece)))
             else:
-                piece = r.choice(clean)() if x < 0.4 else word()
-                piece = piece.capitalize() if r.random() < 0.1 else piece
-            text += piece + r.choice([" ", " ", " ", " ", ". ", ", ", "\n", " | "])
+                piece = r.choice(clean)() if x < 0.35 else word()
+                piece = piece.upper() if shout and "ß" not in piece else piece.capitalize() if r.random() < 0.1 else piece
+            text += piece + r.choice([between] * 5 + [". ", ", ", "\n"])
         out.append((text, found))
     return out
 
@@ -252,7 +359,7 @@ def training_windows(labelled: list[tuple[str, list[tuple[str, int, int]]]], see
     return x, y
 
 
-def trained(n: int = 4000, steps: int = 350) -> Tagger:
-    tagger = Tagger()
+def trained(n: int = 12000, steps: int = 800) -> Tagger:
+    tagger = Tagger(hidden=32)
     tagger.fit(*training_windows(examples(n)), steps)
     return tagger
