@@ -259,9 +259,11 @@ def brute_links(v, cosine=0.9):
     return out
 
 
-@pytest.mark.parametrize("block", [40, 4096])
-def test_embeddings(spark, monkeypatch, block):
-    monkeypatch.setattr(op6_embeddings, "BLOCK", block)
+@pytest.mark.parametrize("cell, tree, bundle", [(10, 15, 40), (512, 2048, 8192), (60, 1000, 20)])
+def test_embeddings(spark, monkeypatch, cell, tree, bundle):
+    monkeypatch.setattr(op6_embeddings, "CELL", cell)
+    monkeypatch.setattr(op6_embeddings, "TREE", tree)
+    monkeypatch.setattr(op6_embeddings, "BUNDLE", bundle)
     v = vectors(3) + [None, [], [0.0] * 8, [1.0, None] + [0.0] * 6, [float("nan")] * 8, [float("inf")] + [0.0] * 7, [1.0, 2.0], [2.0, 4.0], [3.0, 1.0]]
     got = {r["vec_id"]: r for r in op6_embeddings.clusters(spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<float>")).collect()}
     links = brute_links(v)
@@ -271,6 +273,26 @@ def test_embeddings(spark, monkeypatch, block):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (numbers[i], want[i], want[i] == i)
 
 
+def test_embeddings_that_share_ids(spark):
+    """Rows are vectors of their own; a shared id links nothing."""
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.01]), (2, [0.0, 1.0]), (2, [1.0, 0.0]), (5, [-1.0, 0.0]), (5, [0.0, -1.0]), (5, [0.0, -1.0]), (None, [1.0, 0.0])]
+    got = [tuple(r) for r in op6_embeddings.clusters(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()]
+    want = [(1, 2, 1, True), (1, 2, 1, True), (2, 0, 2, True), (2, 2, 1, False), (5, 0, 5, True), (5, 1, 5, True), (5, 1, 5, True), (None, 0, None, False)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_embeddings_of_more_lengths_than_pivots(spark, monkeypatch):
+    monkeypatch.setattr(op6_embeddings, "PIVOTS", 3)
+    rows = [(i, [1.0] * (2 + i // 3)) for i in range(24)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in op6_embeddings.clusters(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert got == {i: (2, i // 3 * 3) for i in range(24)}
+
+
+def test_levels_go_down_to_the_distance_of_a_link():
+    assert op6_embeddings.radii(0.9) == (1.0, 0.5, 0.25, 0.125)
+    assert op6_embeddings.radii(0.9999)[-1] <= 2 * math.sqrt(2e-4) / 4
+
+
 def test_no_embeddings(spark):
     assert op6_embeddings.clusters(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert op6_embeddings.clusters(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).first()["kept"]
@@ -294,7 +316,7 @@ def test_cover_tree_invariants():
 def test_traversal(v):
     p = op6_embeddings.unit(np.array(v, float))
     t, f = op6_embeddings.CoverTree.build(p), op6_embeddings.Found(np.arange(len(p)), np.ones(len(p), np.int64))
-    op6_embeddings.traverse(t, t, p, 0, 0.9, f)
+    op6_embeddings.traverse(t, t, p, (0, 0), 0.9, f)
     linked = p @ p.T >= 0.9
     np.fill_diagonal(linked, False)
     assert f.links.tolist() == linked.sum(axis=1).tolist()

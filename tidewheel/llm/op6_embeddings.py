@@ -6,18 +6,20 @@ bounded.  Two nodes farther apart than both radii and the distance of a link can
 pruned; where the sum is within that distance every pair links, and is counted without a look at it; the
 cosines of what is left are computed in double precision.
 
-Equal vectors are one point with a weight.  Points are dealt to cells by the nearest of at most PIVOTS pivots,
-from a sample of at most SAMPLE points, which has no bearing on the result; cells are cut into blocks of at
-most BLOCK points, each with a tree built once.  Block pairs whose cells can hold a link go each to a task
-that traverses both trees.  A task returns each point's number of links, and links that connect what it
-found connected, never all pairs.
+Equal vectors are one point with a weight, whatever their ids.  Points are dealt to cells by the nearest of at most
+PIVOTS pivots, from a sample, which has no bearing on the result; a cell has one tree, or several of at
+most TREE points.  Trees of neighbouring cells make a bundle of about BUNDLE points, and bundles meet in pairs; but a
+tree goes to a pair only if its cell can hold a link with a cell of the other bundle, by the distance of the pivots
+and the measured radii, so what can't link is never moved.  A task traverses each two trees of its pair, and
+returns each point's number of links, and links that connect what it found connected, never all pairs.
 
-On data without structure no metric index prunes, and the number of block pairs grows as the square of the
-number of blocks; a pair of blocks then costs one matrix product.
+On data without structure no metric index prunes: every tree then goes to every bundle, so the vectors moved are those
+of the input times the number of bundles, and a pair of bundles costs a matrix product.
 
 Defined results: vectors that are null, empty, zero or have null or non-finite components link with nothing,
-nor do vectors of different lengths with each other, nor rows without an id; rows that share an id are one
-point of the graph; an empty table gives no rows; extra columns are ignored.
+nor do vectors of different lengths with each other, nor rows without an id; every row is a vector of its own,
+whatever ids rows share, and component_id is the least id of its component; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,17 +33,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import batch, slices, table, written
+from tidewheel.llm.common import batch, quoted, remove, slices, table, written
 from tidewheel.llm.components import Sets, components
 
-PIVOTS, SAMPLE, BLOCK = 512, 4096, 8192
-#: Radii of the levels below the root, which covers the sphere.
-RADII = (1.0, 0.5, 0.25, 0.125)
+#: Most pivots; points that a cell is meant to have; most points of a tree; points of a bundle.
+PIVOTS, CELL, TREE, BUNDLE = 4096, 512, 2048, 8192
 #: Room for rounding in distances; what it lets through is decided by the cosine.
 SLACK = 1e-6
 _CHUNK = 128
 
 
+def radii(cosine: float) -> tuple[float, ...]:
+    """Radii of the levels below the root, which covers the sphere: halving, to a quarter of the distance of a link."""
+    out, finest = [1.0], max(math.sqrt(2 - 2 * cosine) / 4, 1e-4)
+    while out[-1] / 2 >= finest:
+        out.append(out[-1] / 2)
+    return tuple(out)
+
+
 def _distance(dot: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * dot))
 
@@ -57,17 +66,18 @@ class CoverTree:
         self.order, self.begin, self.end, self.center, self.radius, self.after = order, begin, end, center, radius, after
 
     @classmethod
-    def build(cls, points: np.ndarray) -> CoverTree:
+    def build(cls, points: np.ndarray, cosine: float = 0.9) -> CoverTree:
+        levels = radii(cosine)
         order: list[int] = []
         rows: list[list] = []
 
         def grow(center: int, members: np.ndarray, far: np.ndarray, level: int) -> None:
             me = len(rows)
             rows.append([len(order), 0, center, float(far.max()), 0])
-            if len(members) == 1 or level == len(RADII) or far.max() == 0.0:
+            if len(members) == 1 or level == len(levels) or far.max() == 0.0:
                 order.extend(members.tolist())
             else:
-                centers, nearest, distance = cover(points, center, members, far, RADII[level])
+                centers, nearest, distance = cover(points, center, members, far, levels[level])
                 for k, c in enumerate(centers):
                     mine = nearest == k
                     grow(c, members[mine], distance[mine], level + 1)
@@ -146,14 +156,14 @@ class Found:
 
 
 class Traversal:
-    """Links between points of two trees, or within one if y is x.  Points of y come after shift others.
+    """Links between points of two trees, or within one if y is x.  shifts: how many points come before those of each.
 
     What is left to do is kept as one node and all nodes of the other tree that it can't be told apart from, so that
     a step is one matrix product, however many pairs it prunes.
     """
 
-    def __init__(self, x: CoverTree, y: CoverTree, points: np.ndarray, shift: int, cosine: float, found: Found):
-        self.trees, self.shifts, self.same = (x, y), (0, shift), x is y
+    def __init__(self, x: CoverTree, y: CoverTree, points: np.ndarray, shifts: tuple[int, int], cosine: float, found: Found):
+        self.trees, self.shifts, self.same = (x, y), shifts, x is y
         self.points, self.cosine, self.found = points, cosine, found
         self.reach = math.sqrt(2.0 - 2.0 * cosine)
         self.stack: list[tuple[int, int, np.ndarray]] = []
@@ -193,12 +203,12 @@ class Traversal:
         while todo:
             i = todo.pop()
             if 2 * tree.radius[i] <= self.reach - SLACK:
-                self.found.every(tree.points(i), tree.points(i), True)
+                self.found.every(self._own(0, i), self._own(0, i), True)
             elif kids := tree.children(i):
                 self._step(0, np.array(kids), np.array(kids), True)
                 todo += [k for k in kids if tree.end[k] - tree.begin[k] > 1]
             else:
-                a = tree.points(i)
+                a = self._own(0, i)
                 linked = self.points[a] @ self.points[a].T >= self.cosine
                 np.fill_diagonal(linked, False)
                 self.found.some(a, a, linked)
@@ -260,8 +270,8 @@ class Traversal:
             self.found.some(a, b, self.points[a] @ self.points[b].T >= self.cosine)
 
 
-def traverse(x: CoverTree, y: CoverTree, points: np.ndarray, shift: int, cosine: float, found: Found) -> None:
-    Traversal(x, y, points, shift, cosine, found).run()
+def traverse(x: CoverTree, y: CoverTree, points: np.ndarray, shifts: tuple[int, int], cosine: float, found: Found) -> None:
+    Traversal(x, y, points, shifts, cosine, found).run()
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -275,20 +285,20 @@ def _stack(column: pa.Array) -> list[np.ndarray]:
 
 
 def _pivots(points: DataFrame) -> dict[int, np.ndarray]:
-    """Of each length of vectors, pivots; their number follows that of points, up to PIVOTS."""
-    lengths = points.groupBy("length").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(SAMPLE).collect()
-    sample = points.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("length", "embedding").collect()
+    """Of each length of vectors, pivots; their number follows that of points, up to PIVOTS.  Lengths beyond PIVOTS share one cell each without a pivot of their own."""
+    lengths = points.groupBy("length").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "length").limit(PIVOTS).collect()
+    sample = points.orderBy(F.xxhash64("pid"), "pid").limit(PIVOTS).select("length", "embedding").collect()
     out = {}
     for r in lengths:
         mine = [s["embedding"] for s in sample if s["length"] == r["length"]]
-        n = min(PIVOTS, max(8, r["n"] // (BLOCK // 2)))
+        n = min(PIVOTS, max(8, r["n"] // CELL))
         out[r["length"]] = unit(np.array(mine[:n])) if mine else unit(np.eye(1, r["length"]))
     return out
 
 
 def _dealt(points: DataFrame, pivots: dict[int, np.ndarray], first: dict[int, int]) -> DataFrame:
-    """cell and far (the distance from its pivot) of each point."""
-    schema = pa.schema([("rep", pa.int64()), ("weight", pa.int64()), ("cell", pa.int32()), ("far", pa.float64()), ("embedding", pa.list_(pa.float64()))])
+    """cell and far (the distance from its pivot) of each point; a length without pivots is a cell below 0."""
+    schema = pa.schema([("pid", pa.int64()), ("weight", pa.int64()), ("cell", pa.int32()), ("far", pa.float64()), ("embedding", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 2048):
@@ -297,27 +307,30 @@ def _dealt(points: DataFrame, pivots: dict[int, np.ndarray], first: dict[int, in
             lengths = np.array([len(v) for v in vectors])
             for length in np.unique(lengths):
                 rows = np.flatnonzero(lengths == length)
+                if int(length) not in pivots:
+                    cell[rows], far[rows] = -int(length), 2.0
+                    continue
                 dot = unit(np.stack([vectors[r] for r in rows])) @ pivots[int(length)].T
                 cell[rows], far[rows] = first[int(length)] + dot.argmax(axis=1), _distance(dot.max(axis=1))
             yield batch(schema, b.column(0), b.column(1), cell, far, b.column(2).cast(pa.list_(pa.float64())))
 
-    return points.select("rep", "weight", "embedding").mapInArrow(run, "rep long, weight long, cell int, far double, embedding array<double>")
+    return points.select("pid", "weight", "embedding").mapInArrow(run, "pid long, weight long, cell int, far double, embedding array<double>")
 
 
-_TREE = "block string, cell int, ids binary, weights binary, points binary, width int, tree array<binary>"
+_TREE = "cell int, part int, ids binary, weights binary, points binary, width int, tree array<binary>"
 
 
-def _blocks(dealt: DataFrame) -> DataFrame:
-    schema = pa.schema([("block", pa.string()), ("cell", pa.int32()), ("ids", pa.binary()), ("weights", pa.binary()), ("points", pa.binary()), ("width", pa.int32()), ("tree", pa.list_(pa.binary()))])
+def _trees(placed: DataFrame, cosine: float) -> DataFrame:
+    schema = pa.schema([("cell", pa.int32()), ("part", pa.int32()), ("ids", pa.binary()), ("weights", pa.binary()), ("points", pa.binary()), ("width", pa.int32()), ("tree", pa.list_(pa.binary()))])
 
     def build(t: pa.Table) -> pa.Table:
         p = unit(np.stack(_stack(t["embedding"])))
-        tree = CoverTree.build(p)
+        tree = CoverTree.build(p, cosine)
         parts = [np.ascontiguousarray(x).tobytes() for x in (tree.order, tree.begin, tree.end, tree.center, tree.radius, tree.after)]
-        row = [t["block"][0].as_py(), t["cell"][0].as_py(), t["rep"].to_numpy().tobytes(), t["weight"].to_numpy().tobytes(), p.tobytes(), p.shape[1], parts]
+        row = [t["cell"][0].as_py(), t["part"][0].as_py(), t["pid"].to_numpy().tobytes(), t["weight"].to_numpy().tobytes(), p.tobytes(), p.shape[1], parts]
         return pa.table([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
-    return dealt.groupBy("block").applyInArrow(build, _TREE)
+    return placed.groupBy("cell", "part").applyInArrow(build, _TREE)
 
 
 def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, CoverTree]:
@@ -326,18 +339,18 @@ def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, CoverTree]:
 
 
 def _links(pairs: DataFrame, n: int, cosine: float) -> DataFrame:
-    """a, b: a link; or a and n: its number of links, with b null."""
+    """a, b: a link; or a and n: its number of links, with b null.  pairs: low, high (bundles), bundle, and a tree."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
-    def both(rows: list[dict]) -> pa.RecordBatch:
-        ids, weights, points, x = _read(rows[0])
-        y, shift = x, 0
-        if len(rows) == 2:
-            more, more_weights, more_points, y = _read(rows[1])
-            shift = len(ids)
-            ids, weights, points = np.concatenate([ids, more]), np.concatenate([weights, more_weights]), np.concatenate([points, more_points])
-        found = Found(ids, weights)
-        traverse(x, y, points, shift, cosine, found)
+    def meet(rows: list[dict]) -> pa.RecordBatch:
+        read = [_read(r) for r in rows]
+        ids, weights, points = (np.concatenate([x[i] for x in read]) for i in range(3))
+        shifts = np.concatenate([[0], np.cumsum([len(x[0]) for x in read])]).tolist()
+        found, inside = Found(ids, weights), rows[0]["low"] == rows[0]["high"]
+        for i, x in enumerate(rows):
+            for j in range(i, len(rows)):
+                if inside or x["bundle"] != rows[j]["bundle"]:
+                    traverse(read[i][3], read[j][3], points, (shifts[i], shifts[j]), cosine, found)
         have = np.flatnonzero(found.links)
         a = [e[0] for e in found.edges] + ids[have].tolist()
         return batch(schema, a, [e[1] for e in found.edges] + [None] * len(have), [0] * len(found.edges) + found.links[have].tolist())
@@ -346,53 +359,89 @@ def _links(pairs: DataFrame, n: int, cosine: float) -> DataFrame:
         held: list[dict] = []
         for b in slices(batches, 1):
             row = b.to_pylist()[0]
-            if held and held[0]["pair"] != row["pair"]:
-                yield both(held)
+            if held and (held[0]["low"], held[0]["high"]) != (row["low"], row["high"]):
+                yield meet(held)
                 held = []
             held.append(row)
         if held:
-            yield both(held)
+            yield meet(held)
+
+    return pairs.repartition(n, "low", "high").sortWithinPartitions("low", "high", "bundle", "cell", "part").mapInArrow(run, "a long, b long, n long")
+
+
+def _bundles(pivots: dict[int, np.ndarray], first: dict[int, int], cells: dict[int, tuple[int, float]], reach: float) -> tuple[list[tuple[int, int, int]], list[tuple[int, list[int]]]]:
+    """(cell, part, bundle) of every tree, and of every cell the bundles that have a cell which can link with it.
 
-    return pairs.repartition(n, "pair").sortWithinPartitions("pair", "block").mapInArrow(run, "a long, b long, n long")
+    Cells follow each other by the nearest of some pivots, so a bundle is of neighbours.
+    """
+    trees, partners, bundle, room = [], [], 0, BUNDLE
+
+    def place(cell: int) -> list[int]:
+        nonlocal bundle, room
+        n, out = cells[cell][0], []
+        parts = -(-n // TREE)
+        for part in range(parts):
+            if room < n / parts and room < BUNDLE:
+                bundle, room = bundle + 1, BUNDLE
+            trees.append((cell, part, bundle))
+            out.append(bundle)
+            room -= n / parts
+        return out
+
+    for length, p in pivots.items():
+        mine = np.array([i for i in range(len(p)) if first[length] + i in cells])
+        if not len(mine):
+            continue
+        coarse = p[mine[:: max(1, int(math.sqrt(len(mine))))]]
+        mine = mine[np.argsort((p[mine] @ coarse.T).argmax(axis=1), kind="stable")]
+        bundle, room = bundle + (room < BUNDLE), BUNDLE
+        of = [place(first[length] + int(i)) for i in mine]
+        far = np.array([cells[first[length] + int(i)][1] for i in mine])
+        for k, i in enumerate(mine.tolist()):
+            near = np.flatnonzero(_distance(p[mine] @ p[i]) <= far + far[k] + reach + SLACK)
+            partners.append((first[length] + i, sorted({b for j in near.tolist() for b in of[j]})))
+    for cell in sorted(c for c in cells if c < 0):
+        bundle, room = bundle + (room < BUNDLE), BUNDLE
+        partners.append((cell, sorted(set(place(cell)))))
+    return trees, partners
 
 
 def clusters(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9) -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept."""
     spark = df.sparkSession
     e = F.col("embedding")
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"))
+    hashes = [F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2")]
+    rows = df.select(F.col(quoted(id_col)).cast("long").alias("vec_id"), F.col(quoted(vector_col)).alias("embedding"))
     fine = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0) & F.col("vec_id").isNotNull()
-    usable = rows.where(F.coalesce(fine, F.lit(False)))
-    points = written(usable.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")).withColumn("length", F.size("embedding")), "vectors")
+    usable = rows.where(F.coalesce(fine, F.lit(False))).select("vec_id", "embedding", *hashes)
+    # a point has a number of its own, so rows that share an id, but not a vector, stay apart
+    merged = usable.groupBy("h1", "h2").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.any_value("embedding").alias("embedding"))
+    points = written(merged.withColumn("length", F.size("embedding")).withColumn("pid", F.monotonically_increasing_id()), "vectors")
     pivots = _pivots(points)
     first, at = {}, 0
     for length, p in pivots.items():
         first[length], at = at, at + len(p)
     dealt = written(_dealt(points, pivots, first), "dealt")
     cells = {r["cell"]: (r["n"], r["r"]) for r in dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("r")).collect()}  # a row for each pivot
-    reach = math.sqrt(2 - 2 * cosine)
-    near = []
-    for length, p in pivots.items():
-        d = _distance(p @ p.T)
-        mine = [(first[length] + i, i) for i in range(len(p)) if first[length] + i in cells]
-        near += [(c, k) for c, i in mine for k, j in mine if d[i, j] <= cells[c][1] + cells[k][1] + reach + SLACK]
-    # cells and the number of blocks of each: at most PIVOTS squared rows for each length of vectors
-    blocks = {c: -(-n // BLOCK) for c, (n, _) in cells.items()}
-    partners = spark.createDataFrame(pd.DataFrame([(c, k, blocks[k]) for c, k in near], columns=["cell", "other", "n"]).astype("int32"), "cell int, other int, n int")
-    own = spark.createDataFrame(pd.DataFrame(list(blocks.items()), columns=["cell", "k"]).astype("int32"), "cell int, k int")
-    name = lambda cell, i: F.concat_ws("-", F.format_string("%06d", cell), F.format_string("%09d", i))
-    placed = dealt.join(F.broadcast(own), "cell").withColumn("block", name(F.col("cell"), F.pmod(F.xxhash64("rep"), "k")))
-    trees = written(_blocks(placed.select("block", "cell", "rep", "weight", "embedding")), "trees")
-    other = trees.join(F.broadcast(partners), "cell").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    pairs = other.withColumn("second", name(F.col("other"), F.col("to").cast("long"))).withColumn("pair", F.concat_ws("/", F.least("block", "second"), F.greatest("block", "second")))
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(blocks.values()))
-    found = written(_links(pairs.select("pair", "block", "ids", "weights", "points", "width", "tree"), n, cosine), "links")
-    numbers = found.where("b is null").groupBy("a").agg(F.sum("n").alias("linked")).withColumnRenamed("a", "rep")
-    label = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "rep")
-    known = points.select("embedding", "rep", "weight").join(numbers, "rep", "left").join(label, "rep", "left")
-    of = known.select("embedding", (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = usable.join(of, "embedding").select("vec_id", "n_links", "component_id")
+    trees_of, partners = _bundles(pivots, first, cells, math.sqrt(2 - 2 * cosine))
+    # a row for each tree, and for each cell the numbers of at most all bundles: a tree a TREE points, PIVOTS cells
+    own = spark.createDataFrame(pd.DataFrame(trees_of, columns=["cell", "part", "bundle"]).astype("int32"), "cell int, part int, bundle int")
+    to = spark.createDataFrame(partners, "cell int, others array<int>")
+    parts = spark.createDataFrame([(c, -(-n // TREE)) for c, (n, _) in cells.items()], "cell int, k int")
+    placed = dealt.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("pid"), "k").cast("int"))
+    trees = written(_trees(placed.select("cell", "part", "pid", "weight", "embedding"), cosine), "trees")
+    other = trees.join(F.broadcast(own), ["cell", "part"]).join(F.broadcast(to), "cell").withColumn("other", F.explode("others"))
+    pairs = other.withColumn("low", F.least("bundle", "other")).withColumn("high", F.greatest("bundle", "other"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len({b for _, _, b in trees_of}))
+    found = written(_links(pairs.select("low", "high", "bundle", "cell", "part", "ids", "weights", "points", "width", "tree"), n, cosine), "links")
+    numbers = found.where("b is null").groupBy("a").agg(F.sum("n").alias("linked")).withColumnRenamed("a", "pid")
+    label = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "pid")
+    known = points.select("pid", "h1", "h2", "least", "weight").join(numbers, "pid", "left").join(label, "pid", "left").withColumn("component", F.coalesce("component", "pid"))
+    least = known.groupBy("component").agg(F.min("least").alias("component_id"))
+    of = known.join(least, "component").select("h1", "h2", (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
+    out = usable.select("vec_id", "h1", "h2").join(of, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
     rest = rows.where(~F.coalesce(fine, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    remove(spark, dealt, trees)
     return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
