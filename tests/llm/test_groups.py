@@ -38,7 +38,11 @@ def shingles(text, width=3):
     return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("chunk", [500_000, 30, 2])
+def test_components(spark, monkeypatch, chunk):
+    from tidewheel.llm import components as module
+
+    monkeypatch.setattr(module, "CHUNK", chunk)
     r = random.Random(2)
     for edges in ([(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 50)], [(r.randrange(80), r.randrange(80)) for _ in range(50)], [(3, 3)], []):
         got = {x["node"]: x["component"] for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
