@@ -63,8 +63,65 @@ def test_extraction_from_files(spark, tmp_path):
     dos = jobs.extract_files(spark, str(tmp_path / "a.pcap"), "DoS", str(tmp_path / "f.csv")).collect()
     assert {r["category"] for r in dos} == {"DoS_FTP-Patator", "DoS_SSH-Patator"}
     assert [r["line"] for r in jobs.extract_files(spark, str(tmp_path / "a.pcap"), "attack").collect()] == ["USER admin"]
-    (tmp_path / "out" / "x.manifest.json").write_text(sinks.manifest({"accepted": 1}, category="FTP-Patator", min_len=4))
     assert jobs.verify_files(spark, str(tmp_path / "out")).count() == 0
+    (tmp_path / "out" / "x.manifest.json").write_text(sinks.manifest({"accepted": 3}, category="gone", min_len=4))
+    assert [(r["category"], r["problem"]) for r in jobs.verify_files(spark, str(tmp_path / "out")).collect()] == [("gone", "missing")]
+
+
+def test_manifests_have_counters_and_settings(spark, tmp_path):
+    (tmp_path / "a.pcap").write_bytes(capture([*PACKETS, packet(ATTACKER, 5000, SERVER, 21, b"PASS secret\r\n"), packet(ATTACKER, 5000, SERVER, 21, b"PASV\r\n"), PACKETS[3]]))
+    (tmp_path / "f.csv").write_text(f"Source IP,Source Port,Destination IP,Destination Port,Protocol,Label\n{ATTACKER},5000,{SERVER},21,6,DoS Hulk\n{ATTACKER},5001,{SERVER},22,6,BENIGN\n{ATTACKER},5001,{SERVER},22,6,DoS slow\n9.9.9.9,1,{SERVER},2,6,Heartbleed\n")
+    out = str(tmp_path / "ftp")
+    jobs.extract_files(spark, str(tmp_path / "a.pcap"), "FTP-Patator", out=out, cap=2)
+    m = json.loads((tmp_path / "ftp" / "reservoir_FTP-Patator.manifest.json").read_text())
+    assert list(m) == sorted(m) and (m["accepted"], m["cap_hit"], m["candidates_seen"], m["cap"], m["min_len"]) == (2, True, 2, 2, 4)
+    # USER, the reply, SSH, PASS, and the packet at which the run stops
+    assert (m["packets_scanned"], m["stopped_early"], m["sublabel"]) == (5, True, None) and m["elapsed_seconds"] >= 0
+    whole = jobs.extract_files(spark, str(tmp_path / "a.pcap"), "FTP-Patator", out=out, cap=2, stop_at_cap=False).first()
+    assert (whole["packets_scanned"], whole["stopped_early"], whole["candidates_seen"], whole["accepted"]) == (6, False, 3, 2)
+    out = str(tmp_path / "dos")
+    jobs.extract_files(spark, str(tmp_path / "a.pcap"), "DoS", str(tmp_path / "f.csv"), out)
+    found = {p.name: json.loads(p.read_text()) for p in (tmp_path / "dos").glob("*.json")}
+    assert set(found) == {f"reservoir_DoS_{x}.manifest.json" for x in ("DoS-Hulk", "DoS-slow", "Heartbleed")}
+    assert found["reservoir_DoS_Heartbleed.manifest.json"]["accepted"] == 0
+    hulk = found["reservoir_DoS_DoS-Hulk.manifest.json"]
+    assert (hulk["accepted"], hulk["raw_label"], hulk["sublabel"], hulk["run_packets_scanned"], hulk["packets_scanned"]) == (3, "DoS Hulk", "DoS-Hulk", 6, 0)
+    assert hulk["flow_index_stats"] == {"collisions": 1, "hit_rate": 5 / 6, "hits": 5, "lookups": 6, "unmatched": 1}
+    assert jobs.verify_files(spark, out).count() == 0 and not list(tmp_path.glob("*-scanned"))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tidewheel.__main__ import main
+
+    (tmp_path / "a.pcap").write_bytes(capture(PACKETS))
+    assert main(["extract", "FTP-Patator", "--pcap", str(tmp_path / "a.pcap"), "--out-dir", str(tmp_path / "o")], spark) == 0
+    assert main(["verify", str(tmp_path / "o")], spark) == 0
+    (tmp_path / "o" / "y.manifest.json").write_text(sinks.manifest({"accepted": 1}, category="none"))
+    assert main(["verify", str(tmp_path / "o")], spark) == 1 and "none: missing (1)" in capsys.readouterr().out
+    for mode, want in (("attack", ["USER admin"]), ("benign-ftp", []), ("benign-http", [])):
+        assert main(["--quiet", "extract", mode, "--pcap", str(tmp_path / "a.pcap"), "--out-dir", str(tmp_path / "o")], spark) == 0
+        assert [r["value"] for r in spark.read.text(str(tmp_path / "o" / mode)).collect()] == want
+    (tmp_path / "p.txt").write_text("USER x\nnothing here\n")
+    (tmp_path / "l.txt").write_text("FTP-Patator\nBENIGN\n")
+    assert main(["inspect", str(tmp_path / "p.txt"), str(tmp_path / "l.txt")], spark) == 0
+    assert "True positives" in capsys.readouterr().out
+    (tmp_path / "x.txt").write_text("a\nb\n")
+    (tmp_path / "b.txt").write_text("c\nd\ne\n")
+    assert main(["build", str(tmp_path / "d"), "--reservoir", f"x={tmp_path}/x.txt", "--reservoir", f"BENIGN={tmp_path}/b.txt", "--count", "x=1"], spark) == 0
+    assert "BENIGN: 1 of 3" in capsys.readouterr().out
+
+
+def test_other_categories(spark, tmp_path):
+    """Ports, prefixes and credentials of the categories that no other test offers to."""
+    web = "192.168.10.9"
+    rows = [packet(web, 4000, SERVER, 80, b"GET / HTTP/1.1\r\n"), packet("172.16.0.1", 4000, SERVER, 80, b"GET /x\r\n"), packet("10.1.1.1", 7, SERVER, 21, b"user bob\r\n"), packet("10.1.1.1", 7, SERVER, 21, b"LIST all\r\n"), packet(ATTACKER, 7, SERVER, 21, b"LIST more\r\n")]
+    (tmp_path / "a.pcap").write_bytes(capture(rows))
+    (tmp_path / "f.csv").write_text(f"Source IP,Source Port,Destination IP,Destination Port,Protocol,Label\n{web},4000,{SERVER},80,6,Web Attack - XSS\n10.1.1.1,7,{SERVER},21,6,Infiltration\n172.16.0.1,4000,{SERVER},80,6,Web Attack Brute Force\n")
+    lines = lambda c, **k: sorted(r["line"] for r in jobs.extract_files(spark, str(tmp_path / "a.pcap"), c, **k).collect())
+    assert lines("benign-http") == ["GET / HTTP/1.1"] and lines("benign-ftp") == ["LIST all"] and lines("attack") == ["LIST more"]
+    held = lambda c: {r["category"]: r["accepted"] for r in jobs.extract_files(spark, str(tmp_path / "a.pcap"), c, str(tmp_path / "f.csv")).collect()}
+    assert held("BENIGN") == {"BENIGN": 1} and held("Infiltration") == {"Infiltration": 2}
+    assert held("Web-Attack") == {"Web-Attack_XSS": 1, "Web-Attack_Brute-Force": 1}
 
 
 def test_lines_and_numbers(spark, tmp_path):

@@ -69,6 +69,12 @@ def describe(lines: DataFrame, text: str = "line", benign: str = BENIGN) -> Data
     return lines.agg(F.count("*").alias("n"), F.count_if(~mine).alias("attack"), F.count_if(mine).alias("benign"), F.min(size).alias("min_len"), F.max(size).alias("max_len"), F.avg(size).alias("avg_len"))
 
 
+def preview(lines: DataFrame, n: int = 8, width: int = 60, text: str = "line") -> DataFrame:
+    """category and the beginning of the first n lines, by id, as a summary shows them."""
+    short = F.when(F.length(text) > width, F.concat(F.substring(text, 1, width), F.lit("..."))).otherwise(F.col(text))
+    return lines.orderBy("id").limit(n).select("id", "category", short.alias("preview"))
+
+
 def synthetic(spark, n: int = 185, length: int = 40, seed: int = 99) -> DataFrame:
     """id, payload, label: n payloads with one of three tokens at a random place, and n without, shuffled.
 

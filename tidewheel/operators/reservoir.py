@@ -49,7 +49,12 @@ def first_seen(v: DataFrame, by: tuple[str, ...] = ("line",)) -> DataFrame:
 
 def admit(df: DataFrame, cap: int = CAP, **options) -> DataFrame:
     """category, seq, line of what the reservoirs hold."""
-    return first_k(first_seen(verdicts(df, **options)), cap, ["category"], [F.col("seq")]).select("category", "seq", "line")
+    return admitted(verdicts(df, **options), cap)
+
+
+def admitted(v: DataFrame, cap: int = CAP) -> DataFrame:
+    """category, seq, line of what the reservoirs hold, from verdicts."""
+    return first_k(first_seen(v), cap, ["category"], [F.col("seq")]).select("category", "seq", "line")
 
 
 def stats(df: DataFrame, cap: int = CAP, stop_when_full: bool = False, **options) -> DataFrame:
@@ -57,9 +62,14 @@ def stats(df: DataFrame, cap: int = CAP, stop_when_full: bool = False, **options
 
     stop_when_full: nothing is offered to a full reservoir; else what is offered then counts as seen only.
     """
+    return counters(verdicts(df, **options), cap, stop_when_full)
+
+
+def counters(v: DataFrame, cap: int = CAP, stop_when_full: bool = False) -> DataFrame:
+    """The counters of each category, from verdicts."""
     # lines are told apart by 128 bits here, so no text is moved
     two = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")]
-    v = verdicts(df, **options).select("category", "seq", "gate", *two)
+    v = v.select("category", "seq", "gate", *two)
     held = first_k(first_seen(v, ("h1", "h2")), cap, ["category"], [F.col("seq")])
     last = held.groupBy("category").agg(F.count("*").alias("accepted"), F.max("seq").alias("last"))
     last = last.withColumn("last", F.when(F.col("accepted") >= cap, F.col("last")))

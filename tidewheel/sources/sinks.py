@@ -79,9 +79,33 @@ def console_report(row: dict) -> str:
 
 
 def write_reservoirs(admitted: DataFrame, path: str) -> None:
-    """Lines by category (and sublabel), in the order of seq within each file; a category may have several."""
+    """Lines by category (and sublabel), in the order of seq within each file; a category may have several.  Others' files in path stay."""
     by = [c for c in ("category", "sublabel") if c in admitted.columns]
-    admitted.repartitionByRange(*by, "seq").sortWithinPartitions(*by, "seq").select(*by, "line").write.mode("overwrite").partitionBy(*by).option("lineSep", "\n").text(path)
+    admitted.repartitionByRange(*by, "seq").sortWithinPartitions(*by, "seq").select(*by, "line").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).option("lineSep", "\n").text(path)
+
+
+def write_file(spark, path: str, text: str) -> None:
+    """One small file, through the file system that Spark would write the path to."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def remove_table(spark, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def extraction_summary(title: str, rows: list[dict]) -> str:
+    """A line for each reservoir, as a run of an extraction shows it."""
+    out = [f"=== {title} ==="]
+    for r in rows:
+        counts = " ".join(f"{name}={r[k]:<7}" for name, k in (("accepted", "accepted"), ("candidates", "candidates_seen"), ("rejected_printable", "rejected_not_printable"), ("rejected_short", "rejected_too_short"), ("rejected_dup", "rejected_duplicate")))
+        out.append(f"  {r.get('sublabel') or r['category']:<24} {counts} [{'CAP HIT' if r['cap_hit'] else 'exhausted source'}] {r['elapsed_seconds']}s")
+    return "\n".join(out)
 
 
 def manifest(stats: dict, **extra) -> str:

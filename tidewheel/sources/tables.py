@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewheel.functions.text import reservoir_name
 from tidewheel.operators.evaluate import BENIGN, outcome_name
 from tidewheel.operators.flows import tcp_flows
 
@@ -21,8 +22,9 @@ def flow_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def manifests(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each manifest, with min_len and hit_rate where they are given."""
+    """A row for each manifest, with its reservoir's name, and min_len and hit_rate where they are given."""
     m = spark.read.option("multiLine", True).json(path)
+    m = m.withColumn("reservoir", reservoir_name(F.col("category"), F.col("sublabel").cast("string") if "sublabel" in m.columns else F.lit(None).cast("string")))
     nested = "flow_index_stats" in m.columns and "hit_rate" in m.schema["flow_index_stats"].dataType.names
     return m.withColumn("hit_rate", F.col("flow_index_stats.hit_rate") if nested else F.lit(None).cast("double"))
 
