@@ -121,6 +121,50 @@ def test_truncation():
         assert c.count(text[:k]) <= budget and all(c.count(text[:j]) > budget for j in range(k + 1, len(text) + 1))
 
 
+#: What random texts are made of: special strings, marks, odd spaces, emoji, contractions, letters that fold case unlike.
+BITS = ["<|endoftext|>", "<|startoftext|>", "<|end", "e\u0301", "\u200d", "\ufeff", "\ud7ff", "\ue000", "😀", "👩\u200d🚀", "'ll", "'S", "'", "don't", " ", "  ", "\n", "\r\n", "\t", "\xa0", "\u3000", "\u2003", "\x85", "\x1c", "\x00", "ſ", "ß", "İ", "ı", "K", "ﬁ", "中", "文字", "한", "ก็", "١٢", "²", "½", "a", "Word", "word", "123", "4", "--", "...", "_", "é", "ñandú", "ÀÉ"]
+
+
+def random_texts(seed, n):
+    r = random.Random(seed)
+    return ["".join(r.choice(BITS) + (" " if r.random() < 0.3 else "") for _ in range(r.randint(0, 25))) for _ in range(n)]
+
+
+def test_random_texts_are_encoded_as_the_libraries_do():
+    texts = random_texts(5, 3000)
+    lib, words = op2_records.library(public_tokenizers.path("byte_bpe_50k.json"), width=4), op10_pack.library(public_tokenizers.path("word_bpe_49k.json"), True)
+    counter = op9_counts.counter(public_tokenizers.path("byte_bpe_50k.json"))
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    replay = op7_bpe.replayer(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    for i in range(0, len(texts), 100):
+        some = texts[i : i + 100]
+        for text, ids in zip(some, replay.encode(some), strict=True):
+            assert ids == plain.encode_ordinary(text), text
+            want = ids_of(BYTES, text)
+            assert np.frombuffer(lib.encode(text), "<u4").tolist() == want and counter.count(text) == len(want), text
+            assert np.frombuffer(words.encode(text), "<u4").tolist() == ids_of(WORDS, text), text
+
+
+def test_truncation_of_random_texts():
+    """The last of all prefixes that is within the budget, by the library itself."""
+    c, r = op9_counts.counter(public_tokenizers.path("byte_bpe_50k.json")), random.Random(6)
+    for text in random_texts(7, 150):
+        counts = [len(ids_of(BYTES, text[:k])) for k in range(len(text) + 1)]
+        for budget in {0, 1, r.randint(0, max(counts)), max(counts) - 1, max(counts)}:
+            if budget >= 0:
+                assert c.truncate(text, budget) == max(k for k, n in enumerate(counts) if n <= budget), (text, budget)
+
+
+@pytest.mark.parametrize("operator", ["digests", "token_counts", "pack"])
+def test_tokens_of_repeated_rows_and_empty_tables(spark, documents, operator):
+    run = {"digests": op7_bpe.digests, "token_counts": op9_counts.token_counts, "pack": op10_pack.pack}[operator]
+    assert run(documents([])).count() == 0
+    rows = [tuple(r)[:3] for r in run(documents(["a b", "a b", None, "a b c"], [1, 1, None, 1])).collect()]
+    assert len(rows) == 4 and sorted(str(r[0]) for r in rows) == ["1", "1", "1", "None"]
+
+
 def check_plan(lengths, capacity):
     plan = op10_pack.Plan(Counter(lengths), capacity)
     held = defaultdict(list)

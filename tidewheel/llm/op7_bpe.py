@@ -1,10 +1,14 @@
-"""Byte-level BPE by corpus-level merge replay, and decoding.
+"""Byte-level BPE by merge replay over the different words of many documents, and decoding.
 
-All different words of a batch of documents lie in one linked sequence with walls between words.  An
-inverted index leads from each pair of adjacent tokens to its positions.  A heap gives the pairs in
+All different words of a batch of documents that the worker has not met lie in one linked sequence with walls
+between words.  An inverted index leads from each pair of adjacent tokens to its positions.  A heap gives the pairs in
 rank order; a merge visits only the positions of its pair, and enters only the pairs that it makes with
 the two neighbours.  Words already replayed are kept in a bounded table.
 
+The replay is of a batch's new words, not of the whole corpus' vocabulary at once: that would take a shuffle of all
+words and a join back to each text, where a worker's table finds nearly every word after some batches, and a task needs
+nothing but its own texts, so a lost one is simply run again.
+
 Defined results: a null or empty text has no ids and decodes to no bytes; special strings are plain
 text; rows of equal doc_id are encoded one by one; extra columns are ignored.
 """
@@ -107,8 +111,9 @@ class Replay:
         fresh = sorted(set().union(*parts).difference(self.known))
         now = dict(zip(fresh, self.replay(w.encode() for w in fresh), strict=True))
         self.known.update((w, ids) for w, ids in now.items() if len(w) <= self.longest)
-        known = self.known if all(len(w) <= self.longest for w in fresh) else {**self.known, **now}
-        return (list(chain.from_iterable(map(known.__getitem__, p))) for p in parts)
+        kept = self.known
+        ids_of = kept.__getitem__ if all(len(w) <= self.longest for w in fresh) else lambda w: kept.get(w) or now[w]
+        return (list(chain.from_iterable(map(ids_of, p))) for p in parts)
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))

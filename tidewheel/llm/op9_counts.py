@@ -4,7 +4,9 @@ In a byte-pair encoding with ordered merges, a sequence of tokens is the encodin
 only if each two neighbours are the encoding of theirs.  So exactly one token can end the encoding of
 each prefix, and the count of a prefix is one more than the count of the prefix before that token.  The
 table over a piece is filled left to right; a text's table is that of its pieces, with runs of white
-space, which the split pattern cuts by what follows them, filled as if the text ended there.
+space, which the split pattern cuts by what follows them, filled as if the text ended there.  A text's count is the sum of
+the last entries of its pieces' tables; where a budget cuts a text is read off the tables about the piece that
+exceeds it, without encoding anything again.
 
 Defined results: a null or empty text has 0 tokens; a special string counts as the one token that the
 library makes of it; rows of equal doc_id are counted one by one; extra columns are ignored.
@@ -14,7 +16,9 @@ from __future__ import annotations
 
 import functools
 import json
+from collections import deque
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +49,7 @@ class PrefixCounter:
         self.fits = Table(self._fits, entries=300_000, longest=2)
         self.counts = Table(lambda piece: int(self.piece(piece.encode())[-1]), entries=1_000_000, longest=14)
         self.split = byte_level()
+        self.special_at = regex.compile("|".join(regex.escape(x) for x in sorted(special, key=len, reverse=True)) or r"(?!)")
 
     @classmethod
     def from_file(cls, path: str) -> PrefixCounter:
@@ -117,13 +122,18 @@ class PrefixCounter:
         return out
 
     def _specials(self, text: str) -> Iterator[tuple[int, int]]:
-        i = 0
-        while i < len(text):
-            found = min(((text.find(s, i), s) for s in self.special if s in text[i:]), default=None)
-            if found is None:
-                return
-            yield found[0], found[0] + len(found[1])
-            i = found[0] + len(found[1])
+        return (m.span() for m in self.special_at.finditer(text))
+
+    def _pieces(self, text: str) -> Iterator[tuple[int, int, int]]:
+        """Begin, end and number of tokens of each piece, special strings being one."""
+        at = 0
+        for begin, end in [*self._specials(text), (len(text), len(text))]:
+            for piece in byte_level_pieces(text[at:begin]):
+                yield at, at + len(piece), self.counts[piece]
+                at += len(piece)
+            if begin < end:
+                yield begin, end, 1
+            at = end
 
     def _plain(self, text: str, out: np.ndarray, base: int) -> None:
         out[0], total, ran = base, base, 0
@@ -147,9 +157,19 @@ class PrefixCounter:
         return np.asarray(self.piece(piece.encode()), np.uint32)[ends]
 
     def truncate(self, text: str, budget: int) -> int:
-        """The length of the longest prefix of at most budget tokens whose longer ones all exceed it."""
-        within = np.flatnonzero(self.prefixes(text) <= budget)
-        return int(within[-1]) if len(within) else 0
+        """The length of the longest prefix of at most budget tokens whose longer ones all exceed it.
+
+        It ends near the piece at which the sum of counts exceeds the budget: pieces before it are within, and what comes
+        after the next two has a prefix that exceeds it.  So only the tables of five pieces are looked at.
+        """
+        total, recent, pieces = 0, deque([(0, 0)], maxlen=3), self._pieces(text)
+        for begin, end, n in pieces:
+            recent.append((begin, total))
+            total += n
+            if total > budget:
+                (at, base), end = recent[0], max([end, *(e for _, e, _ in islice(pieces, 2))])
+                return at + int(np.flatnonzero(self.prefixes(text[at:end]) + base <= budget)[-1])
+        return len(text)
 
 
 @functools.cache
@@ -169,17 +189,18 @@ def prefix_counts(df: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
 
 def token_counts(df: DataFrame, tokenizer: str | None = None, limit: int = LIMIT) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_tokens and over_limit."""
+    """Per document: doc_id, n_bytes, n_tokens, over_limit, and within_limit: how many characters the limit leaves of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(tokenizer or vocabulary("byte_bpe_50k.json"))
-        schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
+        schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_()), ("within_limit", pa.int64())])
         for b in slices(batches):
             texts = b.column(1).to_pylist()
             n = [c.count(t) for t in texts]
-            yield batch(schema, b.column(0), [len(t.encode()) for t in texts], n, [x > limit for x in n])
+            within = [c.truncate(t, limit) if x > limit else len(t) for t, x in zip(texts, n, strict=True)]
+            yield batch(schema, b.column(0), [len(t.encode()) for t in texts], n, [x > limit for x in n], within)
 
-    return documents(df).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return documents(df).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, within_limit long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
