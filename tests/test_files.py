@@ -35,6 +35,21 @@ def test_pcap(spark, tmp_path, order, magic):
     assert len(pcap.read_binary(spark, str(tmp_path / "a.pcap")).collect()) == 3
 
 
+def test_a_capture_in_parts(spark, tmp_path, monkeypatch):
+    """The same rows, whatever number of tasks reads a file, and however long its packets are."""
+    rows = [packet(ATTACKER, 5000 + i, SERVER, 21, b"x" * (i * 37 % 400 + (i % 5 > 0))) for i in range(200)]
+    for name, order in (("a.pcap", "<"), ("b.pcap", ">")):
+        (tmp_path / name).write_bytes(capture(rows, order) + b"\x01\x02")
+    reader = pcap._Reader({"path": f"file://{tmp_path}"})
+    whole = [r for p in reader.partitions() for r in reader.read(p)]
+    for split in (100, 1000, 30_000):
+        monkeypatch.setattr(pcap, "SPLIT", split)
+        parts = reader.partitions()
+        assert len(parts) > 4 or split == 30_000
+        assert [r for p in parts for r in reader.read(p)] == whole
+    assert len(whole) == 2 * 199 == len(pcap.read(spark, str(tmp_path / "*.pcap")).collect())  # the first has no payload
+
+
 def test_next_generation_capture(tmp_path, spark):
     block = lambda kind, body: struct.pack("<II", kind, 12 + len(body)) + body + struct.pack("<I", 12 + len(body))
     data = block(0x0A0D0D0A, b"\x4d\x3c\x2b\x1a" + struct.pack("<HHq", 1, 0, -1)) + block(1, struct.pack("<HHI", 1, 0, 0))

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tidewheel.functions.text import strip
 
 KEY = ("src_ip", "src_port", "dst_ip", "dst_port")
-#: Largest number of flows that may be broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Largest number of flows, of some 100 bytes each, that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 # The names that a column may have, in lower case, first found first used.
 COLUMNS = {
     "src_ip": ("source ip", "src ip", "srcip"),

@@ -73,13 +73,17 @@ def _inspect(table: str, key: str, col: str, groups) -> str:
       FROM (SELECT {key}, {_norm(col)} AS n FROM {table})"""
 
 
-def _probe(group: RuleGroup) -> str:
-    """SQL for the number of windows of the byte list bs that pass the filter of a group, m being 64."""
+def _tests(group: RuleGroup) -> str:
+    """SQL for whether the window at i of the byte list bs passes the filter of a group, m being 64."""
     w, bits = group.window_len, sorted(group.bloom.bits)
     h1 = f"list_reduce(list_prepend({bloom.FNV_OFFSET % 64}, bs[i:i + {w - 1}]), lambda a, b: (xor(a, b) * {bloom.FNV_PRIME % 64}) % 64)"
     h2 = f"list_reduce(list_prepend({bloom.DJB2_INIT % 64}, bs[i:i + {w - 1}]), lambda a, b: (a * {bloom.DJB2_FACTOR} + b) % 64)"
-    tests = " AND ".join(f"list_contains({bits}, ({h1} + {j} * ({h2} | 1)) % 64)" for j in range(group.bloom.k))
-    return f"len(list_filter(range(1, len(bs) - {w} + 2), lambda i: {tests}))"
+    return " AND ".join(f"list_contains({bits}, ({h1} + {j} * ({h2} | 1)) % 64)" for j in range(group.bloom.k))
+
+
+def _probe(group: RuleGroup) -> str:
+    """SQL for the number of windows of the byte list bs that pass the filter of a group."""
+    return f"len(list_filter(range(1, len(bs) - {group.window_len} + 2), lambda i: {_tests(group)}))"
 
 
 #: The bytes of a text column as a list of numbers.
@@ -675,3 +679,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {name: sql for name, (_, sql) in _found.items() if sql}
+
+
+from tidewheel.plans import file_queries  # noqa: E402, F401  its queries join those above

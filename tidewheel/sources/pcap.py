@@ -2,13 +2,15 @@
 
 Reads captures with microsecond or nanosecond times in either byte order, and the next-generation block
 format; Ethernet with or without VLAN tags, raw IP, loopback and Linux cooked links; IPv4.  A row is a
-packet with a payload, cut to the length that its IP header gives, which leaves link padding out.  A file is
-one task, read as a stream; many files are many tasks.  A file that ends within a packet ends there.
+packet with a payload, cut to the length that its IP header gives, which leaves link padding out.  Paths may be of any
+file system that Arrow opens.  A file is read as a stream; a classic one of more than SPLIT bytes is several
+tasks: the driver walks its record headers once to find where packets begin.  Next-generation files are one
+task each.  A file that ends within a packet ends there.
 """
 
 from __future__ import annotations
 
-import glob
+import fnmatch
 import os
 import struct
 from collections.abc import Iterator
@@ -20,16 +22,32 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 SCHEMA = "file string, seq long, src_ip string, src_port int, dst_ip string, dst_port int, ts double, payload binary"
 _MAGIC = {0xA1B2C3D4: 1e6, 0xA1B23C4D: 1e9}
 _NEXT_GENERATION = 0x0A0D0D0A
+#: Bytes of a classic capture that a task reads.
+SPLIT = 128 << 20
 ETHERNET, RAW, RAW_OLD, NULL_LINK, COOKED = 1, 101, 12, 0, 113
 
 
-def _classic(f: BinaryIO, head: bytes) -> Iterator[tuple[int, float, bytes]]:
+def file_system(path: str):
+    """The Arrow file system of a path, and the path in it."""
+    from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri(path if "://" in path or path.startswith("file:/") else f"file://{os.path.abspath(path)}")
+
+
+def _order(head: bytes) -> tuple[str, float]:
     order = "<" if struct.unpack("<I", head)[0] in _MAGIC else ">"
-    scale = _MAGIC[struct.unpack(order + "I", head)[0]]
+    return order, _MAGIC[struct.unpack(order + "I", head)[0]]
+
+
+def _classic(f: BinaryIO, head: bytes) -> Iterator[tuple[int, float, bytes]]:
+    order, scale = _order(head)
     rest = f.read(20)
     if len(rest) < 20:
         return
-    link = struct.unpack(order + "I", rest[16:])[0] & 0xFFFF
+    yield from _records(f, order, scale, struct.unpack(order + "I", rest[16:])[0] & 0xFFFF)
+
+
+def _records(f: BinaryIO, order: str, scale: float, link: int) -> Iterator[tuple[int, float, bytes]]:
     while len(record := f.read(16)) == 16:
         seconds, part, size, _ = struct.unpack(order + "IIII", record)
         data = f.read(size)
@@ -38,6 +56,19 @@ def _classic(f: BinaryIO, head: bytes) -> Iterator[tuple[int, float, bytes]]:
         yield link, seconds + part / scale, data
 
 
+def capture_header() -> bytes:
+    """Of a classic capture of Ethernet packets."""
+    return struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, ETHERNET)
+
+
+def capture_record(src: str, sport: int, dst: str, dport: int, payload: bytes | None, seconds: int = 0) -> bytes:
+    """A TCP packet as a record of a classic capture; checksums are left at 0."""
+    tcp_ = struct.pack(">HHIIBBHHH", sport, dport, 0, 0, 5 << 4, 24, 8192, 0, 0) + (payload or b"")[: 65535 - 40]
+    addresses = b"".join(bytes(map(int, a.split("."))) for a in (src, dst))
+    packet = b"\0" * 12 + b"\x08\x00" + struct.pack(">BBHHHBBH", 0x45, 0, 20 + len(tcp_), 0, 0, 64, 6, 0) + addresses + tcp_
+    return struct.pack("<IIII", seconds, 0, len(packet), len(packet)) + packet
+
+
 def _blocks(f: BinaryIO, head: bytes) -> Iterator[tuple[int, float, bytes]]:
     order, links = "<", []
     start = head + f.read(4)
@@ -117,30 +148,89 @@ def packets(f: BinaryIO) -> Iterator[tuple[int, float, bytes]]:
         raise ValueError("not a packet capture")
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+class _Part(InputPartition):
+    """Packets from number seq on of a file, from byte begin to byte end; the whole file if end is 0."""
+
+    def __init__(self, path: str, begin: int = 0, end: int = 0, seq: int = 0):
+        self.path, self.begin, self.end, self.seq = path, begin, end, seq
+
+
+def _parts(system, path: str, size: int) -> list[_Part]:
+    if size <= SPLIT:
+        return [_Part(path)]
+    with system.open_input_file(path) as f:
+        head = f.read(4)
+        if not {struct.unpack(o + "I", head)[0] for o in "<>"} & set(_MAGIC):
+            return [_Part(path)]
+        order, out, at, begin, seq, first = _order(head)[0], [], 24, 24, 0, 0
+        while at + 16 <= size:
+            f.seek(at + 8)
+            at += 16 + struct.unpack(order + "I", f.read(4))[0]
+            seq += 1
+            if at - begin >= SPLIT:
+                out.append(_Part(path, begin, at, first))
+                begin, first = at, seq
+        return [*out, _Part(path, begin, size, first)] if begin < size else out
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
 
-    def partitions(self) -> list[_File]:
-        path = self.path.removeprefix("file://")
-        found = sorted(os.path.join(path, x) for x in os.listdir(path)) if os.path.isdir(path) else sorted(glob.glob(path))
+    def partitions(self) -> list[_Part]:
+        from pyarrow.fs import FileSelector, FileType
+
+        system, path = file_system(self.path)
+        info = system.get_file_info(path)
+        if info.type == FileType.Directory:
+            found = system.get_file_info(FileSelector(path))
+        elif info.type == FileType.File:
+            found = [info]
+        else:
+            above = system.get_file_info(FileSelector(os.path.dirname(path), allow_not_found=True))
+            found = [x for x in above if fnmatch.fnmatch(x.path, path)]
+        found = sorted((x for x in found if x.type == FileType.File), key=lambda x: x.path)
         if not found:
             raise FileNotFoundError(self.path)
-        return [_File(p) for p in found]
-
-    def read(self, partition: _File):
-        with open(partition.path, "rb", buffering=1 << 20) as f:
-            for seq, (link, ts, data) in enumerate(packets(f)):
+        return [p for x in found for p in _parts(system, x.path, x.size)]
+
+    def read(self, partition: _Part):
+        system, _ = file_system(self.path)
+        with system.open_input_file(partition.path) as whole:
+            head = whole.read(24) if partition.end else b""
+            whole.seek(partition.begin)
+            f = _Buffered(whole, partition.end)
+            if partition.end:
+                order, scale = _order(head[:4])
+                rows = _records(f, order, scale, struct.unpack(order + "I", head[20:])[0] & 0xFFFF)
+            else:
+                rows = packets(f)
+            for seq, (link, ts, data) in enumerate(rows, partition.seq):
                 if found := tcp(link, data):
                     src, sport, dst, dport, payload = found
                     yield partition.path, seq, src, sport, dst, dport, ts, payload
 
 
+class _Buffered:
+    """Reads of a few bytes each from reads of a megabyte, up to byte end."""
+
+    def __init__(self, f, end: int = 0):
+        self.f, self.left, self.held, self.at = f, end - f.tell() if end else None, b"", 0
+
+    def read(self, n: int) -> bytes:
+        while len(self.held) - self.at < n:
+            want = max(1 << 20, n)
+            more = self.f.read(want if self.left is None else min(want, self.left))
+            if self.left is not None:
+                self.left -= len(more)
+            if not more:
+                break
+            self.held, self.at = self.held[self.at :] + more, 0
+        out = self.held[self.at : self.at + n]
+        self.at += len(out)
+        return out
+
+
 class TcpPcap(DataSource):
     @classmethod
     def name(cls) -> str:

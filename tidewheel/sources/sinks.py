@@ -113,6 +113,29 @@ def manifest(stats: dict, **extra) -> str:
     return json.dumps({**stats, **extra}, indent=2, sort_keys=True)
 
 
+def write_captures(packets: DataFrame, path: str) -> None:
+    """TCP packets (src_ip, src_port, dst_ip, dst_port, payload) as captures under path, one file a task."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    from tidewheel.sources.pcap import capture_header, capture_record, file_system
+
+    def write(batches):
+        system, base = file_system(path)
+        system.create_dir(base, recursive=True)
+        # a task that runs again writes the same file again
+        n, name = 0, f"{base}/{TaskContext.get().partitionId():05d}.pcap"
+        with system.open_output_stream(name) as f:
+            f.write(capture_header())
+            for b in batches:
+                for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    f.write(capture_record(*row))
+                    n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    packets.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
 def write_dataset(built: DataFrame, path: str, seed: int | None = None, text: str = "line", label: str = "category") -> None:
     """path/payloads and path/labels, aligned line by line: both are written from one sorted table."""
     rows = built if seed is None else shuffled(built, seed)
