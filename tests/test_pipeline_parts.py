@@ -25,6 +25,19 @@ def test_collisions_count_changes(spark):
     assert flows.collisions(flow_rows(spark, [("a", 1, "b", 1, "6", x) for x in "ABA"])).first()[0] == 2
 
 
+def test_collisions_across_stretches(spark, monkeypatch):
+    r = random.Random(9)
+    labels = [("a" if r.random() < 0.8 else "c", 1, "b", 1, "6", r.choice("ABB")) for _ in range(200)]
+    want, last = 0, {}
+    for src, *_, label in labels:
+        want += last.get(src, label) != label
+        last[src] = label
+    for run in (3, 50, 1 << 20):
+        monkeypatch.setattr(flows, "RUN", run)
+        assert flows.collisions(flow_rows(spark, labels)).first()[0] == want
+    assert flows.collisions(flow_rows(spark, labels).limit(0)).first()[0] == 0
+
+
 def test_missing_columns():
     with pytest.raises(ValueError, match="label"):
         flows.resolve_columns(["Src IP", "srcport", "DstIP", "dst port", "Protocol"])

@@ -44,10 +44,25 @@ def index(flows: DataFrame, key: tuple[str, ...] = KEY, order: str = "row_seq")
     return flows.groupBy(*key).agg(F.max_by("label", order).alias("label"))
 
 
+#: Rows in a row that a hot key's labels are compared within, by their order.
+RUN = 1 << 20
+
+
 def collisions(flows: DataFrame, key: tuple[str, ...] = KEY, order: str = "row_seq") -> DataFrame:
-    """How often a row's label differs from that of the row before it with the same key."""
-    before = F.lag("label").over(Window.partitionBy(*key).orderBy(order))
-    return flows.select((before != F.col("label")).alias("differs")).agg(F.count_if("differs").alias("collisions"))
+    """How often a row's label differs from that of the row before it with the same key.
+
+    Rows are compared within stretches of their order (blocks of files, or RUN numbers), then the ends of each key's
+    stretches with each other, so a key with a third of all rows isn't one task's work.
+    """
+    struct = flows.schema[order].dataType.typeName() == "struct"
+    stretch = F.struct(f"{order}.file", f"{order}.block") if struct else F.floor(F.col(order) / RUN)
+    parts = flows.select(*key, "label", F.col(order).alias("_order"), stretch.alias("_stretch"))
+    before = F.lag("label").over(Window.partitionBy(*key, "_stretch").orderBy("_order"))
+    compared = parts.withColumn("_differs", before != F.col("label"))
+    ends = compared.groupBy(*key, "_stretch").agg(F.count_if("_differs").alias("n"), F.min_by("label", "_order").alias("first"), F.max_by("label", "_order").alias("last"))
+    above = F.lag("last").over(Window.partitionBy(*key).orderBy("_stretch"))
+    each = ends.select((F.col("n") + F.when(above != F.col("first"), 1).otherwise(0)).alias("n"))
+    return each.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("collisions"))
 
 
 def lookup(packets: DataFrame, idx: DataFrame, key: tuple[str, ...] = KEY, broadcast: bool = False) -> DataFrame:

@@ -177,6 +177,13 @@ def candidate_places(spark, d):
     return q.items(spark, d).select("packet_id", F.explode(at(normalised(F.col("payload")).cast("binary"))).alias("position"))
 
 
+@q.query(f"SELECT packet_id, CASE WHEN windows > 0 THEN round(100.0 * (1 - CAST(candidates AS DOUBLE) / windows), 1) ELSE 0.0 END AS pruning_pct FROM ({q._candidates('benchmark', 'item_id', q.TABLE_GROUPS)})")
+def pruning_console(spark, d):
+    """Pruning as the console shows it: 0 where there are no windows."""
+    found = q.inspect(q.items(spark, d), q.TABLE_GROUPS, candidates=True)
+    return found.select("packet_id", F.round(evaluate.pruning_pct(F.col("windows"), F.col("candidates"), 0.0), 1).alias("pruning_pct"))
+
+
 @q.query("SELECT id, category, CASE WHEN length(line) > 60 THEN substr(line, 1, 60) || '...' ELSE line END AS preview FROM (SELECT CASE WHEN lang = 'en' THEN 'BENIGN' ELSE lang END AS category, doc_id AS id, text AS line FROM documents) ORDER BY id LIMIT 8")
 def dataset_preview(spark, d):
     return dataset.preview(q.dataset_lines(spark, d))
