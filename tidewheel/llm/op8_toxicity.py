@@ -193,19 +193,23 @@ def _counted(rows: DataFrame, chosen: frozenset[int]) -> tuple[list[Counts], Cou
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("token", pa.string()), ("part", pa.int32()), ("documents", pa.int64()), ("occurrences", pa.int64())])
+        # all counts of a task, which has its share of the sample: no more than that
+        documents, words = ([Counter() for _ in range(2 * FOLDS)] for _ in range(2))
+        tokens_of = Table(tokens, entries=300_000, longest=32)
+        keep_only(tokens_of)
         for b in slices(batches):
-            documents, occurrences = Counter(), Counter()
             for doc_id, toxic, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                if doc_id not in chosen:
-                    continue
-                part, mine = 2 * _fold(doc_id) + (toxic == 1), Counter()
-                for w, k in Counter(_WORD.findall(text.lower())).items():
-                    mine[("", part)] += k
-                    for t in tokens(w):
-                        mine[(t, part)] += k
-                documents.update(mine.keys())
-                occurrences.update(mine)
-            yield batch(schema, [k[0] for k in documents], [k[1] for k in documents], documents.values(), [occurrences[k] for k in documents])
+                if doc_id in chosen:
+                    part, found = 2 * _fold(doc_id) + (toxic == 1), _WORD.findall(text.lower())
+                    words[part].update(found)
+                    documents[part].update({""}.union(*map(tokens_of.__getitem__, set(found))))
+        for part in range(2 * FOLDS):
+            occurrences = Counter({"": words[part].total()})
+            for w, k in words[part].items():
+                for t in tokens_of[w]:
+                    occurrences[t] += k
+            held = documents[part]
+            yield batch(schema, list(held), np.full(len(held), part, np.int32), list(held.values()), [occurrences[t] for t in held])
 
     sums = [F.sum(F.when(F.col("part") == k, F.col(c)).otherwise(0)).alias(f"{c}_{k}") for c in ("documents", "occurrences") for k in range(2 * FOLDS)]
     counted = written(rows.mapInArrow(run, "token string, part int, documents long, occurrences long").groupBy("token").agg(*sums), "tokens")
@@ -229,8 +233,8 @@ def _counted(rows: DataFrame, chosen: frozenset[int]) -> tuple[list[Counts], Cou
     return [pick([j for j in range(FOLDS) if j != k]) for k in range(FOLDS)], pick(list(range(FOLDS)))
 
 
-def _passed(rows: DataFrame, chosen: frozenset[int], models: list[Model]) -> tuple[np.ndarray, ...]:
-    """Of each chosen document, by the model of the other folds: class, words, different kept words, their weights, best segment."""
+def _passed(rows: DataFrame, chosen: frozenset[int], models: list[Model], scan: bool) -> tuple[np.ndarray, ...]:
+    """Of each chosen document, by the model of the other folds: class, words, different kept words, their weights, and, if it is to be scanned, its best segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_only(*(m.known() for m in models))
@@ -240,9 +244,13 @@ def _passed(rows: DataFrame, chosen: frozenset[int], models: list[Model]) -> tup
             for doc_id, toxic, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 if doc_id in chosen:
                     model = models[_fold(doc_id)]
-                    gains = [x for w in set(_WORD.findall(text.lower())) if (x := model.known()[w]) is not None]
-                    segments, n = model.segments(text)
-                    out.append((int(toxic == 1), n, len(gains), sum(gains), max((s for s, _, _ in segments), default=0.0)))
+                    if scan:
+                        segments, n = model.segments(text)
+                        out.append((int(toxic == 1), n, 0, 0.0, max((s for s, _, _ in segments), default=0.0)))
+                    else:
+                        words = _WORD.findall(text.lower())
+                        gains = [x for w in set(words) if (x := model.known()[w]) is not None]
+                        out.append((int(toxic == 1), len(words), len(gains), sum(gains), 0.0))
             yield batch(schema, *(zip(*out, strict=True) if out else [[]] * 5))
 
     seen = rows.mapInArrow(run, "toxic int, n long, hits long, gain double, best double").toPandas()  # at most the sample
@@ -261,12 +269,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     model, folds = every.model(), [c.model() for c in others]
     if not model.weights:
         return Model({}, 1.0)
-    toxic, n, hits, gain, _ = _passed(rows, apart, folds)
+    toxic, n, hits, gain, _ = _passed(rows, apart, folds, False)
     share = [(hits[toxic == c].sum() + 0.5) / (n[toxic == c].sum() + 1.0) for c in (0, 1)]
     drift = gain[toxic == 0].sum() / max(1.0, n[toxic == 0].sum())
     for m in (model, *folds):
         m.step = float(max(2 * drift, math.log1p(-min(share[0], 0.5)) - math.log1p(-min(share[1], 0.5)), 1e-3))
-    toxic, n, _, _, top = _passed(rows, apart, folds)
+    toxic, n, _, _, top = _passed(rows, apart, folds, True)
     remove(docs.sparkSession, rows)
     clean = (toxic != 1) & (n > 0)
     # method of moments for the law's rate over the clean documents that have a segment, and its volume by their share

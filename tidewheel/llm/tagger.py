@@ -69,39 +69,44 @@ class Tagger:
         h, recurrent = self.hidden, self.p[f"h{d}"]
         steps = x.shape[1]
         ds = dc = np.zeros((x.shape[0], h), np.float32)
+        slopes = np.empty((steps, x.shape[0], 4 * h), np.float32)
         for t in range(steps - 1, -1, -1) if d == "f" else range(steps):
-            i, f, o, g, c, before, was = saved[t]
+            i, f, o, g, c, before, _ = saved[t]
             ds = ds + slope[t]
             dc = dc + ds * o * (1 - c * c)
             dz = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), ds * c * o * (1 - o), dc * i * (1 - g * g)], axis=1)
-            np.add.at(grads[f"x{d}"], x[:, t], dz)
-            grads[f"h{d}"] += was.T @ dz
+            slopes[t] = dz
             ds, dc = dz @ recurrent.T, dc * f
+        # all steps in one product each
+        flat = slopes.reshape(-1, 4 * h)
+        hot = np.zeros((len(flat), CLASSES), np.float32)
+        hot[np.arange(len(flat)), x.T.ravel()] = 1
+        grads[f"x{d}"] += hot.T @ flat
+        grads[f"h{d}"] += np.concatenate([s[6] for s in saved]).T @ flat
 
     def _crf(self, e: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """Mean negative log-likelihood, and its slopes by emissions (batch, time, tags) and transitions."""
         n, steps, _ = e.shape
         trans = self.p["trans"].astype(np.float64)
-        e = e.astype(np.float64)
-        alpha, beta = np.empty_like(e), np.zeros_like(e)
-        alpha[:, 0] = e[:, 0]
-        for t in range(1, steps):
-            s = alpha[:, t - 1, :, None] + trans
-            top = s.max(axis=1)
-            alpha[:, t] = e[:, t] + top + np.log(np.exp(s - top[:, None]).sum(axis=1))
+        scores = e.astype(np.float64).transpose(1, 0, 2)
+        # sums over sequences as products, scaled at each step so that none overflows
+        high = scores.max(axis=2, keepdims=True)
+        odds, move = np.exp(scores - high), np.exp(trans - trans.max())
+        alpha, beta, scale = np.empty_like(odds), np.ones_like(odds), np.empty((steps, n, 1))
+        for t in range(steps):
+            a = odds[t] if not t else alpha[t - 1] @ move * odds[t]
+            scale[t] = a.sum(axis=1, keepdims=True)
+            alpha[t] = a / scale[t]
         for t in range(steps - 2, -1, -1):
-            s = trans + (e[:, t + 1] + beta[:, t + 1])[:, None]
-            top = s.max(axis=2)
-            beta[:, t] = top + np.log(np.exp(s - top[:, :, None]).sum(axis=2))
-        top = alpha[:, -1].max(axis=1)
-        log_z = top + np.log(np.exp(alpha[:, -1] - top[:, None]).sum(axis=1))
-        de = np.exp(alpha + beta - log_z[:, None, None])
-        pair = np.exp(alpha[:, :-1, :, None] + trans + (e[:, 1:] + beta[:, 1:])[:, :, None] - log_z[:, None, None, None]).sum(axis=(0, 1))
+            beta[t] = (odds[t + 1] * beta[t + 1]) @ move.T / scale[t + 1]
+        log_z = np.log(scale).sum() + high.sum() + n * (steps - 1) * trans.max()
+        de = (alpha * beta).transpose(1, 0, 2).copy()
+        pair = alpha[:-1].reshape(-1, N_TAGS).T @ (odds * beta / scale)[1:].reshape(-1, N_TAGS) * move
         rows, at = np.arange(n)[:, None], np.arange(steps)[None]
-        score = e[rows, at, y].sum() + trans[y[:, :-1], y[:, 1:]].sum()
+        score = e[rows, at, y].sum(dtype=np.float64) + trans[y[:, :-1], y[:, 1:]].sum()
         de[rows, at, y] -= 1
         np.add.at(pair, (y[:, :-1], y[:, 1:]), -1)
-        return float((log_z.sum() - score) / n), (de / n).astype(np.float32), (pair / n).astype(np.float32)
+        return float((log_z - score) / n), (de / n).astype(np.float32), (pair / n).astype(np.float32)
 
     def fit(self, x: np.ndarray, y: np.ndarray, steps: int, batch: int = 48, rate: float = 0.02, seed: int = 3) -> list[float]:
         """Adam on windows of character classes and tags; the loss of each step."""
