@@ -55,7 +55,7 @@ _HIT = q._HIT
 
 
 @q.query(f"""SELECT packet_id, alert, label, CAST(a AND {_HIT} AS INTEGER) AS tp, CAST(NOT a AND NOT {_HIT} AS INTEGER) AS tn, CAST(NOT a AND {_HIT} AS INTEGER) AS fp, CAST(a AND NOT {_HIT} AS INTEGER) AS fn,
-  windows, windows AS candidates, CASE WHEN windows > 0 THEN 0.0 ELSE 100.0 END AS pruning_pct, 0.0 AS duration_ms, label = 'TOXIC' AS is_attack,
+  windows, windows AS candidates, CAST(CASE WHEN windows > 0 THEN 0 ELSE 100 END AS DOUBLE) AS pruning_pct, CAST(0 AS DOUBLE) AS duration_ms, label = 'TOXIC' AS is_attack,
   CASE WHEN label = 'TOXIC' AND alert THEN 'TP' WHEN label = 'TOXIC' THEN 'FN' WHEN alert THEN 'FP' ELSE 'TN' END AS outcome
   FROM (SELECT packet_id, alert, skipped, windows, coalesce(label, 'UNKNOWN') AS label, coalesce(label, 'UNKNOWN') <> 'BENIGN' AS a FROM {_LABELLED})""")
 def packet_file(spark, d):
@@ -92,7 +92,7 @@ def dataset_files(spark, d):
     return payloads.join(labels.withColumnRenamed("line", "category"), "id").select("id", "category", F.md5(F.col("line").cast("binary")).alias("digest"))
 
 
-@q.query(f"SELECT category, candidates_seen, rejected_not_printable, rejected_too_short, rejected_duplicate, accepted, cap_hit, 200 AS min_len, 0.75 AS hit_rate FROM ({q._stats_sql('count(*)')})")
+@q.query(f"SELECT category, candidates_seen, rejected_not_printable, rejected_too_short, rejected_duplicate, accepted, cap_hit, 200 AS min_len, CAST(0.75 AS DOUBLE) AS hit_rate FROM ({q._stats_sql('count(*)')})")
 def manifest_files(spark, d):
     path = folder(spark, "manifests")
     for r in reservoir.stats(q.offered(spark, d), q.CAP, **q._OPTIONS).collect():  # a handful of reservoirs
@@ -177,7 +177,7 @@ def candidate_places(spark, d):
     return q.items(spark, d).select("packet_id", F.explode(at(normalised(F.col("payload")).cast("binary"))).alias("position"))
 
 
-@q.query(f"SELECT packet_id, CASE WHEN windows > 0 THEN round(100.0 * (1 - CAST(candidates AS DOUBLE) / windows), 1) ELSE 0.0 END AS pruning_pct FROM ({q._candidates('benchmark', 'item_id', q.TABLE_GROUPS)})")
+@q.query(f"SELECT packet_id, CASE WHEN windows > 0 THEN round(100.0 * (1 - CAST(candidates AS DOUBLE) / windows), 1) ELSE CAST(0 AS DOUBLE) END AS pruning_pct FROM ({q._candidates('benchmark', 'item_id', q.TABLE_GROUPS)})")
 def pruning_console(spark, d):
     """Pruning as the console shows it: 0 where there are no windows."""
     found = q.inspect(q.items(spark, d), q.TABLE_GROUPS, candidates=True)
