@@ -77,6 +77,10 @@ class Model:
 
     def weight(self, word: str) -> float | None:
         """That of the word's most significant token, or nothing."""
+        if "_starts" not in self.__dict__:
+            self.__dict__["_starts"] = {t[:SHORTEST] for t in self.weights if t.endswith("*")}
+        if word not in self.weights and word[:SHORTEST] not in self.__dict__["_starts"]:
+            return None  # as nearly all words
         best = max((t for t in tokens(word) if t in self.weights), key=lambda t: (self.strength.get(t, 0.0), t), default=None)
         return None if best is None else self.weights[best]
 
@@ -87,7 +91,7 @@ class Model:
         return self.__dict__["_known"]
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_known"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_known", "_starts")}
 
     def segments(self, text: str) -> tuple[list[tuple[float, int, int]], int]:
         """Maximal scoring segments as (score, first word, end word), and the number of words."""
